@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import components, sketchjoin, urlcopies
+from quernstone.llm import components, leakage, names, packing, sentences, sketchjoin, urlcopies
 from quernstone.sources.tables import table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = names.spelling_pairs(table(spark, root, "campaigns", "organizer"), "organizer")
+    return pairs.select(F.col("a").alias("organizer_a"), F.col("b").alias("organizer_b"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "campaigns", "ingest_seq", "title", "description")
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
@@ -35,11 +40,37 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return groups.where("group_size > 1").select(F.col("group").alias("group_url"), F.col("item").alias("url"))
 
 
+def p8_pack(spark: SparkSession, root: str) -> DataFrame:
+    sizes = packing.token_counts(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
+    return packing.pack(sizes, table(spark, root, "containers"))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    docs, items = table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text")
+    return leakage.leaked_items(docs, "doc_id", "text", items, "item_id", "text").select("doc_id", "item_id")
+
+
+def p9_clean(spark: SparkSession, root: str) -> DataFrame:
+    docs, items = table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text")
+    leaks = leakage.leaked_items(docs, "doc_id", "text", items, "item_id", "text")
+    return leakage.without_leaks(table(spark, root, "documents", "doc_id", "source", "n_chars"), "doc_id", leaks)
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    found = sentences.sentences(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "start_pos", "end_pos")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_pages": p4_pages,
     "p7_found": p7_found,
+    "p8_pack": p8_pack,
+    "p9_found": p9_found,
+    "p9_clean": p9_clean,
+    "p10_found": p10_found,
 }
 
 #: Ties between urls are spelled out as pairs and closed recursively, which only small groups allow.
@@ -79,8 +110,23 @@ WITH cut AS (
 )
 """
 
+#: Every run of twelve words of a document that is one of an item.
+_LEAKS = r"""
+WITH runs_of_items AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS run
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL) x, unnest(range(1, len(w) - 10)) AS t(i)
+), runs_of_docs AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS run
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) x, unnest(range(1, len(w) - 10)) AS t(i)
+), leaks AS (
+  SELECT DISTINCT doc_id, item_id FROM runs_of_docs JOIN runs_of_items USING (run)
+)
+"""
+
 SQL: dict[str, str] = {
     "p4_found": _PAGE + "SELECT first_seq, ingest_seq AS copy_seq FROM firsts WHERE ingest_seq <> first_seq",
     "p4_pages": _PAGE + "SELECT first_seq, url, n_copies FROM firsts WHERE ingest_seq = first_seq",
     "p7_found": _P7,
+    "p9_found": _LEAKS + "SELECT doc_id, item_id FROM leaks",
+    "p9_clean": _LEAKS + "SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks) OR doc_id IS NULL",
 }
