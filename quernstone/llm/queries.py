@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import components, leakage, names, packing, sentences, sketchjoin, urlcopies
+from quernstone.llm import components, language, leakage, names, packing, pii, sentences, sketchjoin, urlcopies
 from quernstone.sources.tables import table
 
 
@@ -33,6 +33,34 @@ def p4_pages(spark: SparkSession, root: str) -> DataFrame:
     return urlcopies.page_counts(table(spark, root, "campaigns", "ingest_seq", "url"), "ingest_seq", "url")
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "campaigns", "ingest_seq", "description")
+    return pii.personal_items(rows, "description", "ingest_seq").select("ingest_seq", "pii_kind", "pii_text").distinct()
+
+
+def p5_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return pii.redacted(table(spark, root, "campaigns", "ingest_seq", "description"), "description", "ingest_seq")
+
+
+def _declared(spark: SparkSession, root: str) -> tuple[DataFrame, language.Model]:
+    """Descriptions with the language that their platform declares, and the model for them."""
+    platforms = table(spark, root, "platforms", "platform", "main_lang").groupBy("platform").agg(F.min("main_lang").alias("main_lang"))
+    rows = table(spark, root, "campaigns", "ingest_seq", "platform", "description").where(F.trim("description") != "")
+    declared = rows.join(platforms, "platform", "left")
+    labelled = table(spark, root, "documents", "doc_id", "text", "lang").unionByName(declared.select(F.col("ingest_seq").alias("doc_id"), F.col("description").alias("text"), F.col("main_lang").alias("lang")))
+    return declared, language.fitted_on(labelled, "doc_id", "text", "lang")
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    rows, model = _declared(spark, root)
+    return language.misdeclared(rows, "description", F.col("main_lang"), model, "ingest_seq").select("ingest_seq", "seg_no", "lang")
+
+
+def p6_passages(spark: SparkSession, root: str) -> DataFrame:
+    rows, model = _declared(spark, root)
+    return language.passages(rows, F.col("description"), model, "ingest_seq", "main_lang")
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     flags = table(spark, root, "detector_d_flags", "url", "cluster_id")
     ties = flags.select("url", components.whole_number(F.col("cluster_id")).alias("tie"))
@@ -66,6 +94,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_pages": p4_pages,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
+    "p6_found": p6_found,
+    "p6_passages": p6_passages,
     "p7_found": p7_found,
     "p8_pack": p8_pack,
     "p9_found": p9_found,
