@@ -55,35 +55,20 @@ def _spread(lookup: DataFrame, key: str, top: str) -> DataFrame:
     return lookup.withColumn(f"{key}_salt", F.explode(F.sequence(F.lit(0), F.col(top)))).drop(top)
 
 
-def connected_groups(memberships: DataFrame, item: str, tie: str, *, rounds: int = 60, label: str = "components") -> DataFrame:
-    """One row per item: ``item``, ``group`` (the least item of its group), ``group_size``.
-
-    Items sharing a tie are linked, directly or through others. A null item is
-    ignored; an item whose ties are all null is a group of its own; repeated rows
-    change nothing; further columns are ignored; no rows give no rows. Items are
-    compared as written, in code-point order. Raises if labels still change after
-    ``rounds`` rounds, which takes chains longer than any of 2**rounds links.
-    """
-    spark = memberships.sparkSession
-    scratch = Scratch(spark, label)
-    rows = memberships.select(F.col(item).alias("item"), F.col(tie).cast("string").alias("tie")).where(F.col("item").isNotNull()).distinct()
-    rows = scratch.save(rows)
-    # Written before they are used: identifiers made from positions must not be made twice.
-    items = scratch.save(rows.select("item").distinct().withColumn("v", F.monotonically_increasing_id()))
-    tied = scratch.save(rows.where(F.col("tie").isNotNull()).join(items, "item").select("v", "tie"))
-    total, n_items = tied.count(), items.count()
+def least_labels(tied: DataFrame, scratch: Scratch, rounds: int) -> DataFrame:
+    """(``v``, ``l``) for every ``v`` of the written table ``tied`` (``v`` long, ``tie``): the least ``v`` of its group."""
+    total = tied.count()
     by_tie, by_item = _salts(tied, "tie", total), _salts(tied, "v", total)
     edges = scratch.save(_salted(_salted(tied, by_tie, "tie", "v"), by_item, "v", "tie"))
-    scratch.drop(tied)
     tops = edges.groupBy("v").agg(F.max("v_salt").alias("v_top"))
     labels = scratch.save(tops.select("v", F.col("v").alias("l"), "v_top"))
+    n_items = labels.count()
     for _ in range(rounds):
         labelled = edges.join(_spread(labels, "v", "v_top"), ["v", "v_salt"]).select("v", "tie", "tie_salt", "l")
         least = labelled.groupBy("tie").agg(F.min("l").alias("m"), F.max("tie_salt").alias("top"))
         offers = labelled.join(_spread(least, "tie", "top"), ["tie", "tie_salt"]).where("m < l").select("v", "l", "m")
         best = offers.select("v", "m").unionByName(offers.select(F.col("l").alias("v"), "m")).groupBy("v").agg(F.min("m").alias("m"))
-        hooked = labels.join(best, "v", "left").select("v", F.least("l", "m").alias("l"), F.col("l").alias("was"), "v_top")
-        hooked = scratch.save(hooked)
+        hooked = scratch.save(labels.join(best, "v", "left").select("v", F.least("l", "m").alias("l"), F.col("l").alias("was"), "v_top"))
         pointing = hooked.where("l <> v")
         onward = hooked.select(F.col("v").alias("l"), F.col("l").alias("next"))
         per_label = pointing.groupBy("l").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -95,10 +80,30 @@ def connected_groups(memberships: DataFrame, item: str, tie: str, *, rounds: int
         labels = jumped.select("v", "l", "v_top")
         labels._quernstone_path = jumped._quernstone_path
         if not changed:
-            break
-    else:
-        raise RuntimeError(f"labels still change after {rounds} rounds")
-    placed = items.join(labels.select("v", "l"), "v", "left").select("item", F.coalesce("l", "v").alias("l"))
+            scratch.drop(edges)
+            return labels.select("v", "l")
+    raise RuntimeError(f"labels still change after {rounds} rounds")
+
+
+def connected_groups(memberships: DataFrame, item: str, tie: str, *, most_rounds: int = 60, label: str = "components") -> DataFrame:
+    """One row per item: ``item``, ``group`` (the least item of its group), ``group_size``.
+
+    Items sharing a tie are linked, directly or through others. A null item is
+    ignored; an item whose ties are all null is a group of its own; repeated rows
+    change nothing; further columns are ignored; no rows give no rows. Items are
+    compared as written, in code-point order. Raises if labels still change after
+    ``most_rounds`` rounds.
+    """
+    spark = memberships.sparkSession
+    scratch = Scratch(spark, label)
+    rows = memberships.select(F.col(item).alias("item"), F.col(tie).cast("string").alias("tie")).where(F.col("item").isNotNull()).distinct()
+    rows = scratch.save(rows)
+    # Written before they are used: identifiers made from positions must not be made twice.
+    items = scratch.save(rows.select("item").distinct().withColumn("v", F.monotonically_increasing_id()))
+    tied = scratch.save(rows.where(F.col("tie").isNotNull()).join(items, "item").select("v", "tie"))
+    scratch.drop(rows)
+    labels = least_labels(tied, scratch, most_rounds)
+    placed = items.join(labels, "v", "left").select("item", F.coalesce("l", "v").alias("l"))
     groups = scratch.save(placed.groupBy("l").agg(F.min("item").alias("group"), F.count(F.lit(1)).alias("n_rows")))
     lookup = groups.select("l", "group", F.col("n_rows").alias("group_size"))
-    return hot_aware_join(placed, lookup, "l", groups.select("l", "n_rows"), n_items).select("item", "group", "group_size")
+    return hot_aware_join(placed, lookup, "l", groups.select("l", "n_rows"), items.count()).select("item", "group", "group_size")
