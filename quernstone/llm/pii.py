@@ -76,7 +76,7 @@ _TAIL = (
     rf"(?:,?\s(?:in\s)?\d{{4,5}}(?:-\d{{3}})?\s{_TOWN}|,?\sin\s{_TOWN}(?:\s\d{{4,5}}(?!\w))?|,\s{_TOWN}(?:\s\d{{4,5}}(?!\w))?)?"
 )
 _ADDRESS = [
-    re.compile(rf"(?<![\w-])\d{{1,4}}[a-z]?\s(?:{_CAP}[\w’']+\s){{1,4}}?(?:{'|'.join(w.capitalize() for w in _STREET)})\b\.?{_TAIL}"),
+    re.compile(rf"(?<![\w-])\d{{1,4}}[a-z]?\s(?:{_CAP}[\w’']+\s){{1,4}}(?:{'|'.join(w.capitalize() for w in _STREET)})\b\.?{_TAIL}"),
     re.compile(
         rf"(?<![\w-])(?:\d{{1,4}}[a-z]?,?\s)?(?:{'|'.join(w.capitalize() for w in _STREET_BEFORE)})\s(?:(?:de la|de las|de los|du|des|del|de|do|da|dos|das|la|el)\s|[dl]['’])?{_CAP}[\w’'-]+"
         rf"(?:,?\s(?:n\.?\s?[º°o]\.?\s?)?\d{{1,4}}[a-z]?(?![\w]))?{_TAIL}"

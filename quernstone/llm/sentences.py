@@ -54,7 +54,7 @@ def masked(text: Column) -> Column:
     x = sub(x, rf"(?i)(?<![\p{{L}}\p{{M}}\p{{N}}{DOT}])({_any(LEADING)})\.(?={_SPACE}*\S)", f"$1{DOT}")
     x = sub(x, rf"(?i)(?<![\p{{L}}\p{{N}}{DOT}])(no|nos|p|s|ch|{_any(MONTHS)})\.(?={_SPACE}*[0-9])", f"$1{DOT}")
     # What may close a sentence does not before a small letter or a number.
-    x = sub(x, rf"(?<![\p{{L}}\p{{N}}{DOT}])((?i:{_any(CLOSING)})|(?:\p{{L}}{{1,3}}{DOT})+\p{{L}}{{1,3}})\.(?={_SPACE}+[\p{{Ll}}\p{{N}}])", f"$1{DOT}")
+    x = sub(x, rf"(?<![\p{{L}}\p{{N}}{DOT}])((?i:{_any(CLOSING)})|(?:\p{{L}}{{1,3}}{DOT})+\p{{L}}{{1,3}})\.(?=[{_BRACKET}]?{_SPACE}+[\p{{Ll}}\p{{N}}])", f"$1{DOT}")
     x = sub(x, rf"(?i)(?<=(?<![\p{{L}}\p{{N}}])[0-9]{{1,2}})\.(?={_SPACE}+(?:{_any(AFTER_ORDINAL)})(?![\p{{L}}\p{{N}}]))", DOT)
     x = sub(x, r"\.\.\.(?=\s*\p{Ll})", ELLIPSIS_DOT * 3)
     return sub(x, r"…(?=\s*\p{Ll})", ELLIPSIS)
@@ -66,6 +66,8 @@ def _marked(x: Column) -> Column:
     x = sub(x, rf"({_STOP}+)(?=\s)(?!{_SPACE}[»›])")
     # Closing quotes and brackets belong to the sentence; a small letter after them goes on with it.
     x = sub(x, rf"({_STOP}+(?:{_SPACE}?[»›]|[{_QUOTE}{_BRACKET}]+))(?=\s+[^\s\p{{Ll}}])")
+    # A bracket that ends with a full stop holds a sentence of its own.
+    x = sub(x, rf"(\.[{_BRACKET}]+)(?=\s+\p{{Ll}})")
     x = sub(x, rf"({_STOP}+[{_BRACKET}]?)(?=\p{{Lu}}[\p{{Ll}} ])")
     x = sub(x, rf"({_CJK_STOP}+[）】)\]]*)(?![”’」』）】》\"'。！？｡)\]]|\s)")
     x = sub(x, rf"({_CJK_STOP}+[”’」』\"']+[）】)]*)(?=[“‘「『（]|\s+[^\s\p{{Ll}}])")
