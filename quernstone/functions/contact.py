@@ -68,6 +68,15 @@ def phone_key(phone: Column) -> Column:
     return F.when(F.length(d).between(7, 15) & ~((zeros >= 3) & (zeros >= F.floor(F.length(d) / 2))), d)
 
 
+def is_noise(handle: Column) -> Column:
+    """Whether a handle is blank, a sum of money, a bare domain or a currency code; null is noise."""
+    h = F.trim(F.coalesce(handle, F.lit("")))
+    noise = h == ""
+    for pattern in NOT_HANDLES:
+        noise = noise | h.rlike(pattern)
+    return noise
+
+
 def handle_kind(handle: Column) -> Column:
     """Which payment system a handle belongs to; null for anything else."""
     h = F.trim(F.coalesce(handle, F.lit("")))

@@ -78,27 +78,38 @@ def text_features(text: Column) -> Column:
     )
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def style_vector(text: Column) -> Column:
     """Unit vector of writing habits; null for texts of under 50 characters or 30 words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    n = F.size(words)
     sentences = F.filter(F.split(text, r"[.!?]+\s+"), lambda s: F.trim(s) != "")
-    mean_length = F.aggregate(sentences, F.lit(0), lambda a, s: a + F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))) / F.size(sentences)
+    mean_length = let(sentences, lambda s: F.aggregate(s, F.lit(0), lambda a, x: a + F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))) / F.size(s))
     rate = lambda x: x / F.greatest(F.length(text), F.lit(1))
-    count_of = lambda *w: F.size(F.filter(words, lambda x: x.isin(*w)))
-    first, third = count_of(*FIRST_PERSON), count_of(*THIRD_PERSON)
-    raw = F.array(
-        mean_length.cast("double"),
-        (F.size(F.array_distinct(words)) / n).cast("double"),
-        rate(F.regexp_count(text, F.lit("!"))),
-        rate(F.regexp_count(text, F.lit(r"\.\.\."))),
-        rate(F.regexp_count(text, F.lit(r"\?"))),
-        rate(F.regexp_count(text, F.lit(r"\p{Lu}"))),
-        (first / F.greatest(first + third, F.lit(1))).cast("double"),
-        *[(count_of(w) / n).cast("double") for w in STYLE_WORDS],
-    )
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when((F.length(text) >= 50) & (n >= 30) & (F.size(sentences) > 0), F.transform(raw, lambda x: x / norm))
+
+    def raw(words: Column) -> Column:
+        n = F.size(words)
+        count_of = lambda *w: F.size(F.filter(words, lambda x: x.isin(*w)))
+        pronouns = let(F.struct(count_of(*FIRST_PERSON).alias("first"), count_of(*THIRD_PERSON).alias("third")), lambda p: p["first"] / F.greatest(p["first"] + p["third"], F.lit(1)))
+        return F.array(
+            mean_length.cast("double"),
+            (F.size(F.array_distinct(words)) / n).cast("double"),
+            rate(F.regexp_count(text, F.lit("!"))),
+            rate(F.regexp_count(text, F.lit(r"\.\.\."))),
+            rate(F.regexp_count(text, F.lit(r"\?"))),
+            rate(F.regexp_count(text, F.lit(r"\p{Lu}"))),
+            pronouns.cast("double"),
+            *[(count_of(w) / n).cast("double") for w in STYLE_WORDS],
+        )
+
+    def unit(v: Column) -> Column:
+        return let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.transform(v, lambda x: x / norm))
+
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    vector = let(words, lambda w: F.when((F.size(w) >= 30) & (F.size(sentences) > 0), let(raw(w), unit)))
+    return F.when(F.length(text) >= 50, vector)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -14,7 +14,7 @@ TRACKING_PARAMETERS = ("src", "utm_source", "utm_medium", "utm_campaign", "utm_t
 
 
 def _bare(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(F.coalesce(url, F.lit("")))), r"^https?://", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), r"^\s+|\s+\z", ""), r"^https?://", "")
 
 
 def _without_www(host: Column) -> Column:
@@ -31,7 +31,7 @@ def _without_dots(host: Column) -> Column:
 
 def normalize_url(url: Column) -> Column:
     """Lower case, trimmed, without scheme, leading ``www.`` and trailing slashes; null becomes empty."""
-    return F.regexp_replace(_without_www(_bare(url)), r"/+$", "")
+    return F.regexp_replace(_without_www(_bare(url)), r"/+\z", "")
 
 
 def host_detector(url: Column) -> Column:

@@ -30,7 +30,7 @@ class Registry:
 
 # SQL of expressions that several queries share, for DuckDB.
 
-BARE = "regexp_replace(lower(trim(coalesce({0}, ''))), '^https?://', '')"
+BARE = "regexp_replace(regexp_replace(lower(coalesce({0}, '')), '^\\s+|\\s+$', '', 'g'), '^https?://', '')"
 NO_WWW = "regexp_replace({0}, '^www\\.', '')"
 NORMALIZED_URL = "regexp_replace(regexp_replace(" + BARE + ", '^www\\.', ''), '/+$', '')"
 HOST = "regexp_replace(regexp_replace(regexp_extract(" + BARE + ", '^[^/?#]*', 0), '^www\\.', ''), '\\.+$', '')"

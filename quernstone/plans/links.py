@@ -60,7 +60,7 @@ def phone_keys(spark: SparkSession, root: str) -> DataFrame:
 
 
 _HANDLES = r"""
-  SELECT url, h, CASE
+  SELECT url, h, regexp_matches(h, '^(?i)\$?\d+(?:[.,]\d{1,2})?\s*(?:usd|eur|gbp|\$)?$') OR regexp_matches(h, '^(?i)(?:www\.)?[\w.-]+\.(?:org|com|net|io|co|us)/?$') OR regexp_matches(h, '^[A-Z]{3,4}$') OR h = '' AS is_noise, CASE
       WHEN regexp_matches(h, '^(?i)\$?\d+(?:[.,]\d{1,2})?\s*(?:usd|eur|gbp|\$)?$') OR regexp_matches(h, '^(?i)(?:www\.)?[\w.-]+\.(?:org|com|net|io|co|us)/?$') OR regexp_matches(h, '^[A-Z]{3,4}$') THEN NULL
       WHEN regexp_matches(h, '^(?:bc1[ac-hj-np-z02-9]{8,87}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})$') THEN 'BTC'
       WHEN regexp_matches(h, '^0x[a-fA-F0-9]{40}$') THEN 'ETH'
@@ -80,13 +80,13 @@ def handle_kinds(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     f"""
-    WITH h AS (SELECT DISTINCT url, h FROM ({_HANDLES}) WHERE kind IS NOT NULL AND url IS NOT NULL), n AS (SELECT h, count(*) AS n FROM h GROUP BY h)
+    WITH h AS (SELECT DISTINCT url, h FROM ({_HANDLES}) WHERE NOT is_noise AND url IS NOT NULL), n AS (SELECT h, count(*) AS n FROM h GROUP BY h)
     SELECT url, CAST(max(n) AS BIGINT) AS max_reuse, string_agg(CASE WHEN n >= 2 THEN h || ':' || n END, ';' ORDER BY h) AS reused FROM h JOIN n USING (h) GROUP BY url
     """
 )
 def wallet_reuse(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "contacts", "url", "payment_handles").select("url", F.explode("payment_handles").alias("x")).select("url", F.trim("x").alias("h"))
-    rows = rows.where(F.col("url").isNotNull() & C.handle_kind(F.col("h")).isNotNull()).distinct()
+    rows = rows.where(F.col("url").isNotNull() & ~C.is_noise(F.col("h"))).distinct()
     counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     reused = F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") >= 2, F.concat("h", F.lit(":"), F.col("n").cast("string"))))), ";")
     return rows.join(counts, "h").groupBy("url").agg(F.max("n").alias("max_reuse"), F.nullif(reused, F.lit("")).alias("reused"))
@@ -130,7 +130,7 @@ def _signals() -> dict[str, Column]:
     return {
         "email": F.transform("emails", C.email_key),
         "phone": F.transform("phones", C.phone_key),
-        "payment": F.transform("payment_handles", lambda h: F.when(C.handle_kind(h).isNotNull(), F.lower(F.trim(h)))),
+        "payment": F.transform("payment_handles", lambda h: F.when(~C.is_noise(h), F.lower(F.trim(h)))),
         "domain": F.transform("urls", lambda u: U.registrable_root(U.host_enriched(u))),
     }
 
@@ -147,7 +147,7 @@ _BUCKETS = f"""
     SELECT DISTINCT signal, v AS value, url AS item FROM (
       SELECT 'email' AS signal, v, url FROM emails_of
       UNION ALL SELECT 'phone', {_PHONE_KEY}, url FROM ({_PHONES})
-      UNION ALL SELECT 'payment', CASE WHEN kind IS NOT NULL THEN lower(h) END, url FROM ({_HANDLES})
+      UNION ALL SELECT 'payment', CASE WHEN NOT is_noise THEN lower(h) END, url FROM ({_HANDLES})
       UNION ALL SELECT 'domain', array_to_string(list_slice(string_split({sql_of(HOST, "u")}, '.'), -2, -1), '.'), url FROM (SELECT url, unnest(urls) AS u FROM contacts)
     ) WHERE v <> '' AND url IS NOT NULL
   ), sizes AS (

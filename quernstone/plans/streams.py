@@ -13,7 +13,8 @@ query = Registry()
 
 def _events(spark: SparkSession, root: str) -> DataFrame:
     path = f"{root}/events.parquet"
-    return A.stream_of(spark, path, spark.read.parquet(path).schema)
+    # Watermarks need an instant; the log's times are UTC, as the session is.
+    return A.stream_of(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT user_id, time_bucket(INTERVAL '1 minute', ts) AS window_start, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

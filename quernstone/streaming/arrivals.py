@@ -13,7 +13,13 @@ from quernstone.operators.scratch import shared_folder
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
     """Parquet files appearing in a folder, or one file, as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isFile(at):
+        # A stream reads folders; the folder of one file is narrowed to it.
+        return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return reader.parquet(path)
 
 
 def first_arrivals(stream: DataFrame, key: str, time: str, late: str = "7 days") -> DataFrame:
