@@ -45,19 +45,21 @@ def _any(words: list[str]) -> str:
 def masked(text: Column) -> Column:
     """``text`` with every full stop masked that ends nothing; the length is unchanged."""
     x = F.regexp_replace(text, r"[\x{E000}-\x{E00F}]", "\ufffd")
-    sub = lambda c, pattern, by: F.regexp_replace(c, pattern, by)
+    # Every pattern starts with the character it masks and looks back from there, so nothing is tried at the other characters of a text.
+    sub = lambda c, pattern: F.regexp_replace(c, pattern, DOT)
     # A full stop between letters or digits is none, unless a capital follows a small letter or a digit: there only the space is missing.
-    x = sub(x, r"(?<=[\p{L}\p{N}])\.(?=[\p{L}\p{N}])(?!(?<=[\p{Ll}\p{N}]{2}\.)\p{Lu}[\p{Ll} ])", DOT)
-    x = sub(x, r"(?<=[\p{L}\p{N}/])\?(?=[\p{L}\p{N}_]+=)", QUESTION)
-    x = sub(x, rf"(?m)^(\s*\(?(?:[0-9]{{1,3}}|\p{{L}}))\.(?={_SPACE})", f"$1{DOT}")
-    x = sub(x, rf"(?<![\p{{L}}\p{{M}}\p{{N}}{DOT}'’])([\p{{Lu}}b-df-hj-np-tv-xzدأم])\.(?={_SPACE}+\S|,)", f"$1{DOT}")
-    x = sub(x, rf"(?i)(?<![\p{{L}}\p{{M}}\p{{N}}{DOT}])({_any(LEADING)})\.(?={_SPACE}*\S)", f"$1{DOT}")
-    x = sub(x, rf"(?i)(?<![\p{{L}}\p{{N}}{DOT}])(no|nos|p|s|ch|{_any(MONTHS)})\.(?={_SPACE}*[0-9])", f"$1{DOT}")
+    x = sub(x, r"\.(?<=[\p{L}\p{N}]\.)(?=[\p{L}\p{N}])(?!(?<=[\p{Ll}\p{N}]{2}\.)\p{Lu}[\p{Ll} ])")
+    x = F.regexp_replace(x, r"\?(?<=[\p{L}\p{N}/]\?)(?=[\p{L}\p{N}_]+=)", QUESTION)
+    x = F.regexp_replace(x, rf"(?m)^(\s*\(?(?:[0-9]{{1,3}}|\p{{L}}))\.(?={_SPACE})", f"$1{DOT}")
+    x = sub(x, rf"\.(?<=(?<![\p{{L}}\p{{M}}\p{{N}}{DOT}'’])[\p{{Lu}}b-df-hj-np-tv-xzدأم]\.)(?={_SPACE}+\S|,)")
+    x = sub(x, rf"(?i)\.(?<=(?<![\p{{L}}\p{{M}}\p{{N}}{DOT}])(?:{_any(LEADING)})\.)(?={_SPACE}*\S)")
+    x = sub(x, rf"(?i)\.(?<=(?<![\p{{L}}\p{{N}}{DOT}])(?:no|nos|p|s|ch|{_any(MONTHS)})\.)(?={_SPACE}*[0-9])")
+    letters = r"\p{L}{1,3}"
     # What may close a sentence does not before a small letter or a number.
-    x = sub(x, rf"(?<![\p{{L}}\p{{N}}{DOT}])((?i:{_any(CLOSING)})|(?:\p{{L}}{{1,3}}{DOT})+\p{{L}}{{1,3}})\.(?=[{_BRACKET}]?{_SPACE}+[\p{{Ll}}\p{{N}}])", f"$1{DOT}")
-    x = sub(x, rf"(?i)(?<=(?<![\p{{L}}\p{{N}}])[0-9]{{1,2}})\.(?={_SPACE}+(?:{_any(AFTER_ORDINAL)})(?![\p{{L}}\p{{N}}]))", DOT)
-    x = sub(x, r"\.\.\.(?=\s*\p{Ll})", ELLIPSIS_DOT * 3)
-    return sub(x, r"…(?=\s*\p{Ll})", ELLIPSIS)
+    x = sub(x, rf"\.(?<=(?<![\p{{L}}\p{{N}}{DOT}])(?:(?i:{_any(CLOSING)})|{"|".join(DOT.join([letters] * n) for n in (2, 3, 4))})\.)(?=[{_BRACKET}]?{_SPACE}+[\p{{Ll}}\p{{N}}])")
+    x = sub(x, rf"(?i)\.(?<=(?<![\p{{L}}\p{{N}}])[0-9]{{1,2}}\.)(?={_SPACE}+(?:{_any(AFTER_ORDINAL)})(?![\p{{L}}\p{{N}}]))")
+    x = F.regexp_replace(x, r"\.\.\.(?=\s*\p{Ll})", ELLIPSIS_DOT * 3)
+    return F.regexp_replace(x, r"…(?=\s*\p{Ll})", ELLIPSIS)
 
 
 def _marked(x: Column) -> Column:
