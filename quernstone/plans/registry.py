@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import links, pages, reports, skewed, streams
+from quernstone.plans import links, names, pages, reports, skewed, streams
 
-_MODULES = (skewed, pages, links, reports, streams)
+_MODULES = (skewed, pages, links, names, reports, streams)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}

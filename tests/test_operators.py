@@ -22,14 +22,13 @@ def got(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def test_shared_folder_is_taken_from_the_session(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-        saved = scratch.Scratch(spark, "t").save(spark.range(3).toDF("x"))
-        assert saved._quernstone_path.startswith(f"file://{tmp_path}/t-") and got(saved) == [(0,), (1,), (2,)]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def test_shared_folder_is_taken_from_the_session(spark):
+    class Named:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: {"spark.checkpoint.dir": "hdfs://shared/x/"}.get(key, default))})
+
+    assert scratch.shared_folder(Named()) == "hdfs://shared/x"
+    saved = scratch.Scratch(spark, "t").save(spark.range(3).toDF("x"))
+    assert got(saved) == [(0,), (1,), (2,)] and "/t-" in saved._quernstone_path
 
 
 class TestSkew:
@@ -216,3 +215,60 @@ class TestStreams:
         assert got(arrivals.drained(arrivals.first_arrivals(stream(), "k", "t").select("k"))) == [(i,) for i in range(5)]
         found = arrivals.drained(arrivals.rates(stream(), "k", "t", "v"), "complete")
         assert found.agg(F.sum("n_events"), F.sum("total")).first() == (20, 190.0)
+
+
+class TestFuzzy:
+    def test_similar_names_against_all_pairs(self, spark):
+        from quernstone.functions.vectorized import indel_ratio, sorted_tokens
+        from quernstone.operators import fuzzy
+
+        rng = random.Random(4)
+        names = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(4, 24))).strip() for _ in range(120)]
+        for n in list(names):
+            at = rng.randrange(len(n) + 1)
+            names.append(n[:at] + rng.choice("abcdx") + n[at + rng.randrange(2) :])
+        names = sorted({n.strip() for n in names if n.strip()})
+        wanted = {(a, b) for a, b in combinations(names, 2) if indel_ratio(sorted_tokens(a), sorted_tokens(b)) >= 85}
+        found = {(a, b) for a, b, _ in got(fuzzy.similar_names(spark.createDataFrame([(n,) for n in [*names, None, " "]], "n string"), "n", 85.0))}
+        assert found == wanted and len(wanted) > 50
+
+    def test_nearest_word(self, spark):
+        from quernstone.operators import fuzzy
+
+        df = spark.createDataFrame([(1, "call 12345 or write to 99999 now"), (2, None), (3, "77777")], "i int, t string")
+        found = got(fuzzy.nearest_word(df, "i", F.col("t"), r"\d{5}", {"c": "call", "w": "write"}, 15))
+        assert found == [(1, 0, "12345", "c", 1), (1, 1, "99999", "w", 4), (3, 0, "77777", None, None)]
+
+
+def test_checksums_and_literals(spark):
+    from quernstone.functions import vectorized as V
+
+    cases = {
+        "1BoatSLRHtKNngkdXEeobR76b53LETtpyT": "bitcoin", "1BoatSLRHtKNngkdXEeobR76b53LETtpyU": None, "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4": "bitcoin", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t5": None,
+        "GB82WEST12345698765432": "iban", "GB82WEST12345698765433": None, "0x" + "ab" * 20: "ethereum", "0x12": None, "": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "h string").select("h", V.checksum_kind("h").alias("k"))
+    assert {r.h: r.k for r in df.collect()} == cases
+    texts = ["{'a': [1, None]}", '{"a": 1}', "plain", "{broken", None]
+    found = [r.j for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", V.literal_json("t").alias("j")).orderBy("i").collect()]
+    assert found == ['{"a": [1, null]}', '{"a": 1}', '"plain"', '"{broken"', None]
+    folded = spark.createDataFrame([("Dr.  Jözé O'Neil-Ça",), (None,)], "t string").select(V.ascii_folded("t").alias("f")).collect()
+    assert [r.f for r in folded] == ["dr joze o'neil-ca", None]
+
+
+def test_social_and_kinds(spark):
+    from quernstone.functions import social as S
+
+    urls = ["https://www.facebook.com/Some.One?x=1", "m.facebook.com/abc", "https://t.me/@chan", "@Bare_one", "https://linkedin.com/in/joe-d/", "https://facebook.com/", "example.com/x", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
+    found = [tuple(r.h) for r in df.select("i", S.social_handle(F.col("u")).alias("h")).orderBy("i").collect()]
+    assert found == [("facebook", "some.one"), ("facebook", "abc"), ("telegram", "chan"), ("unknown", "bare_one"), ("linkedin", "joe-d"), (None, None), (None, None), (None, None)]
+    kinds = [r.k for r in df.select("i", S.url_kind(F.col("u"), ["example.com"]).alias("k")).orderBy("i").collect()]
+    assert kinds[0] == "social" and kinds[6] == "own" and kinds[7] is None
+    times = ["2023-01-02T03:04:05Z", "2023-01-02T03:04:05+01:00", "2023-01-02", "31/12/2022", "12/31/2022", "x", None]
+    stamps = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t string").select("i", F.date_format(S.parsed_time(F.col("t")), "yyyy-MM-dd HH:mm").alias("s")).orderBy("i").collect()]
+    assert stamps == ["2023-01-02 03:04", "2023-01-02 02:04", "2023-01-02 00:00", "2022-12-31 00:00", "2022-12-31 00:00", None, None]
+    (row,) = spark.createDataFrame([("US$1,911.00 raised of $8,000.00 goal, 18 Donors",)], "t string").select(S.widget_amounts(F.col("t")).alias("w")).select("w.*").collect()
+    assert tuple(row) == (8000.0, 1911.0, 18)
+    phones = spark.createDataFrame([("+44 20 7946 0000",), ("0044 20 7946 0000",), ("(0)555-010-0100",), ("12",)], "p string").select(S.international(F.col("p"), F.lit("1")).alias("e")).collect()
+    assert [r.e for r in phones] == ["+442079460000", "+442079460000", "+15550100100", None]
