@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.operators.scratch import Scratch
+from quernstone.operators.skew import hot_aware_join
 
 #: A value shared by more records than this is infrastructure, no identity.
 MOST_SHARED = 10
@@ -50,12 +51,17 @@ def components(edges: DataFrame, *, rounds: int = 60, label: str = "graph") -> D
     """
     scratch = Scratch(edges.sparkSession, label)
     now = scratch.save(edges.select(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("u")).where("v <> u").distinct())
+
+    def to_least(rows: DataFrame, n_rows: int) -> DataFrame:
+        """Each row with the least neighbour ``m`` of its ``v``. The root of a large component is a hot key."""
+        least = rows.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n_rows"))
+        return hot_aware_join(rows, least.select("v", "m"), "v", least.select("v", "n_rows"), n_rows)
+
     for _ in range(rounds):
+        n_rows = now.count()
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
+        large = to_least(both, 2 * n_rows).where("u > v").select(F.col("u").alias("v"), F.least("v", "m").alias("u")).where("v <> u").distinct()
+        small = to_least(large, n_rows).select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(large.groupBy("v").agg(F.min("u").alias("u"))).where("v <> u").distinct()
         then = scratch.save(small)
         same = then.exceptAll(now).limit(1).count() == 0 and now.exceptAll(then).limit(1).count() == 0
         scratch.drop(now)
@@ -97,12 +103,36 @@ def louvain_level(nodes: list, edges: list[tuple], total: float, passes: int = 2
     return home
 
 
+#: Components of more edges than this are not gathered in one task.
+MOST_EDGES = 200_000
+
+
+def spread_labels(edges: DataFrame, rounds: int = 12, *, label: str = "spread") -> DataFrame:
+    """``node``, ``community`` (its least node) over ``src, dst, w``: every node takes the label of most weight around it, a fixed number of times.
+
+    Its own label counts as the lightest neighbour, ties go to the least label, and
+    nodes take turns by parity of their hash, so that two can't swap labels for ever.
+    """
+    scratch = Scratch(edges.sparkSession, label)
+    both = scratch.save(edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
+    now = scratch.save(both.select(F.col("src").alias("node")).distinct().withColumn("l", F.col("node")))
+    for n in range(rounds):
+        seen = both.join(now.select(F.col("node").alias("dst"), "l"), "dst").groupBy("src", "l").agg(F.sum("w").alias("w"))
+        best = seen.groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("w"), "l")).alias("b")).select(F.col("src").alias("node"), F.col("b.l").alias("to"))
+        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == n % 2
+        then = scratch.save(now.join(best, "node", "left").select("node", F.when(turn, F.coalesce("to", "l")).otherwise(F.col("l")).alias("l")))
+        scratch.drop(now)
+        now = then
+    least = now.groupBy("l").agg(F.min("node").alias("community"), F.count(F.lit(1)).alias("n_rows"))
+    return hot_aware_join(now, least.select("l", "community"), "l", least.select("l", "n_rows"), now.count()).select("node", "community")
+
+
 def communities(edges: DataFrame, weight: str = "weight", *, label: str = "louvain") -> DataFrame:
     """``node``, ``community`` (its least node): local moving of modularity, component by component.
 
-    Components of a capped identity graph are small; each is one group. The weight
-    of the whole graph, one number, is passed in, so the result is that of moving
-    nodes in the whole graph.
+    Components of at most MOST_EDGES edges are one group each. The weight of the whole
+    graph, one number, is passed in, so the result is that of moving nodes in the
+    whole graph. Larger components are divided by :func:`spread_labels` instead.
     """
     import pandas as pd
 
@@ -119,7 +149,12 @@ def communities(edges: DataFrame, weight: str = "weight", *, label: str = "louva
             least.setdefault(home[n], n)
         return pd.DataFrame({"node": nodes, "community": [least[home[n]] for n in nodes]})
 
-    return placed.groupBy("component").applyInPandas(work, f"node {kind}, community {kind}")
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > MOST_EDGES).select("component")
+    small = placed.join(large, "component", "left_anti").groupBy("component").applyInPandas(work, f"node {kind}, community {kind}")
+    if not large.limit(1).count():
+        return small
+    return small.unionByName(spread_labels(placed.join(large, "component", "left_semi").select("src", "dst", "w"), label=f"{label}-large"))
 
 
 def cluster_report(members: DataFrame, group: str, item: str, part: str) -> DataFrame:

@@ -8,6 +8,8 @@ folder of our own made. ``localCheckpoint`` is never used.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
     if own is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        own = "file://" + tempfile.mkdtemp(prefix="quernstone-")
+        folder = tempfile.mkdtemp(prefix="quernstone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = "file://" + folder
         spark._quernstone_scratch = own
     return own
 

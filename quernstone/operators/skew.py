@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: A key counts as hot from 1/HOT_SHARE of all rows on, so at most HOT_SHARE keys are ever broadcast.
 HOT_SHARE = 200
+#: Nor does any with fewer rows, which one task joins as fast as several.
+LEAST_HOT = 20_000
 
 
 def per_key_state(df: DataFrame, key: str, sums: dict[str, Column] | None = None, latest_by: Sequence[str] = (), latest: Sequence[str] = ()) -> DataFrame:
@@ -54,15 +56,17 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     return counts.where(F.col(key).isNotNull() & (F.col("n_rows") >= total * F.lit(share))).select(key)
 
 
-def hot_aware_join(facts: DataFrame, lookup: DataFrame, key: str, counts: DataFrame, total_rows: int) -> DataFrame:
+def hot_aware_join(facts: DataFrame, lookup: DataFrame, key: str, counts: DataFrame, total_rows: int, least_hot: int = LEAST_HOT) -> DataFrame:
     """Inner join of ``facts`` with a ``lookup`` unique on ``key``, no task meeting all rows of a hot key.
 
     ``counts`` has (``key``, ``n_rows``) for every key of ``facts``. Keys with at least
     ``total_rows / HOT_SHARE`` rows number at most HOT_SHARE and are joined by
-    broadcast, without moving their rows; all others are joined by a shuffle. Null
-    keys join nothing.
+    broadcast, without moving their rows; all others are joined by a shuffle, as are
+    all keys where none can have ``least_hot`` rows. Null keys join nothing.
     """
-    floor = max(1, total_rows // HOT_SHARE)
+    if total_rows < least_hot:
+        return facts.join(lookup, key)
+    floor = max(least_hot, total_rows // HOT_SHARE)
     hot = counts.where(F.col("n_rows") >= F.lit(floor)).select(key)
     hot_lookup = F.broadcast(lookup.join(hot, key, "left_semi"))
     hot_keys = F.broadcast(hot)

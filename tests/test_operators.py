@@ -54,7 +54,8 @@ class TestSkew:
         facts = spark.createDataFrame([("hot", i) for i in range(500)] + [(f"k{i}", i) for i in range(500)] + [(None, 1)], "k string, v int")
         lookup = spark.createDataFrame([("hot", "H")] + [(f"k{i}", "C") for i in range(0, 500, 2)], "k string, w string")
         counts = facts.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows"))
-        found = skew.hot_aware_join(facts, lookup, "k", counts, 1000)
+        found = skew.hot_aware_join(facts, lookup, "k", counts, 1000, least_hot=5)
+        assert got(found.select("k", "v", "w")) == got(skew.hot_aware_join(facts, lookup, "k", counts, 1000).select("k", "v", "w"))
         assert found.groupBy("w").count().orderBy("w").collect() == [("C", 250), ("H", 500)]
 
 
@@ -150,6 +151,14 @@ class TestIdentity:
         found = dict(got(I.communities(edges)))
         assert {frozenset(n for n in found if found[n] == c) for c in set(found.values())} == {frozenset(f"{g}{i}" for i in range(5)) for g in "xy"} | {frozenset(["z0", "z1"])}
 
+    def test_large_components_are_divided_too(self, spark, monkeypatch):
+        monkeypatch.setattr(I, "MOST_EDGES", 5)
+        cliques = [(f"{g}{a}", f"{g}{b}", 2) for g in "xy" for a, b in combinations(range(5), 2)]
+        edges = spark.createDataFrame([*cliques, ("x0", "y0", 1), ("z0", "z1", 1)], "src string, dst string, weight long")
+        found = dict(got(I.communities(edges)))
+        assert set(found) == {f"{g}{i}" for g in "xy" for i in range(5)} | {"z0", "z1"}
+        assert len({found[f"x{i}"] for i in range(5)}) == len({found[f"y{i}"] for i in range(5)}) == 1 and found["z0"] == found["z1"] == "z0"
+
     def test_mean_cosine_against_pairs(self, spark):
         rng = random.Random(2)
         rows = [(g, [rng.gauss(0, 1) for _ in range(4)]) for g in (1, 1, 1, 2, 2, 3)]
@@ -272,3 +281,66 @@ def test_social_and_kinds(spark):
     assert tuple(row) == (8000.0, 1911.0, 18)
     phones = spark.createDataFrame([("+44 20 7946 0000",), ("0044 20 7946 0000",), ("(0)555-010-0100",), ("12",)], "p string").select(S.international(F.col("p"), F.lit("1")).alias("e")).collect()
     assert [r.e for r in phones] == ["+442079460000", "+442079460000", "+15550100100", None]
+
+
+def test_nested(spark):
+    from quernstone.functions import nested as N
+
+    df = spark.createDataFrame([(["Ann", "ann ", "Bo", ""], ["bo", "Cy"], "Ann met Cy", float("nan"))], "a array<string>, b array<string>, t string, x double")
+    row = df.select(
+        N.found_in(F.col("a"), F.col("t")).alias("found"),
+        N.united(F.col("a"), F.col("b"), lambda x: F.lower(F.trim(x))).alias("united"),
+        N.parted(F.col("a"), lambda x: F.length(x) > 2).alias("parted"),
+        N.appended_once(F.col("b"), F.lit("Cy")).alias("same"),
+        N.appended_once(F.lit(None).cast("array<string>"), F.lit("p")).alias("new"),
+        N.boilerplate(F.lit(" Powered by us"), ["powered by"]).alias("boiler"),
+        N.contains_any(F.col("t"), ["REDACTED", "met"]).alias("marked"),
+        N.scrubbed(F.col("x")).alias("scrubbed"),
+        N.humanized(F.lit("two_words"), {"a": "b"}).alias("human"),
+        N.sentence((F.lit(True), F.lit("one")), (F.lit(False), F.lit("two")), (F.lit(True), F.lit("three"))).alias("sentence"),
+    ).first()
+    assert row.found == ["Ann", "ann "] and row.united == ["Ann", "Bo", "", "Cy"]
+    assert tuple(row.parted) == (["Ann", "ann "], ["Bo", ""]) and row.same == ["bo", "Cy"] and row.new == ["p"]
+    assert row.boiler and row.marked and row.scrubbed is None and row.human == "two words" and row.sentence == "one, three."
+
+
+class TestEnrichment:
+    SCHEMA = "url string, ok boolean, ms int, err string, size int"
+
+    @staticmethod
+    def client():
+        def call(text):
+            if "bad" in text:
+                raise ValueError("no")
+            return {"size": len(text)}
+
+        return call
+
+    def test_failures_are_rows(self, spark):
+        from quernstone.operators import enrich
+
+        df = spark.createDataFrame([("a", "abc"), ("b", "bad"), ("c", None)], "url string, t string").coalesce(1)
+        found = enrich.enriched(df, "url", "t", self.client, "size int", pauses=(0.0,)).select("url", "ok", "err", "size")
+        assert got(found) == [("a", True, None, 3), ("b", False, "ValueError: no", None)]
+
+    def test_dead_client_is_not_asked_for_ever(self, spark):
+        from quernstone.operators import enrich
+
+        df = spark.createDataFrame([(str(i), "bad") for i in range(9)], "url string, t string").coalesce(1)
+        errors = [r.err for r in enrich.enriched(df, "url", "t", self.client, "size int", pauses=(), most_failures=3).collect()]
+        assert errors.count("ValueError: no") == 3 and len(errors) == 9
+
+    def test_pauses(self):
+        from quernstone.operators import enrich
+
+        slept = []
+        assert enrich.attempted(self.client(), "bad", (1.0, 5.0), slept.append) == ({}, "ValueError: no") and slept == [1.0, 5.0]
+
+    def test_resumption(self, spark, tmp_path):
+        from quernstone.operators import enrich
+
+        path = str(tmp_path / "log")
+        df = spark.createDataFrame([("a", "abc"), ("b", "bad")], "url string, t string")
+        ask = lambda: enrich.resumed(df, "url", "t", path, self.SCHEMA, self.client, "size int", pauses=())
+        assert [ask(), ask()] == [2, 1]
+        assert files.read_jsonl(spark, path, self.SCHEMA).where("ok").count() == 1
