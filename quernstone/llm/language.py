@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.sample import hashed_sample
+
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl", "zh", "ja", "th", "hi", "ar")
 _L = {x: i for i, x in enumerate(LANGUAGES)}
 _LATIN = np.array([_L[x] for x in ("en", "de", "fr", "es", "pt", "nl")])
@@ -196,8 +198,10 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 def fitted_on(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS) -> Model:
     """The model fitted on at most ``rows`` labelled rows, which also works without any."""
     label = F.lower(F.trim(F.col(lang_col)))
-    usable = labelled.select(F.col(text_col).alias("text"), label.alias("lang"), F.xxhash64(id_col).alias("h")).where(F.col("lang").isin(*LANGUAGES) & (F.length("text") <= TRAIN_CHARS))
-    return fit([(r.text, r.lang) for r in usable.orderBy("h").limit(rows).collect()])
+    usable = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.alias("lang")).where(F.col("lang").isin(*LANGUAGES))
+    # Only labels are read to count the rows that have one.
+    sample = hashed_sample(usable.where(F.length("text") <= TRAIN_CHARS), F.struct("id", "lang"), usable.count(), rows)
+    return fit([(r.text, r.lang) for r in sample.collect()])
 
 
 def viterbi(scores: np.ndarray, breaks: np.ndarray, lengths: np.ndarray) -> np.ndarray:

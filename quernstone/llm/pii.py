@@ -11,7 +11,8 @@ the driver.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.language import COMMON
 from quernstone.llm.names import NICKNAMES, TITLES
+from quernstone.llm.sample import hashed_sample
 from quernstone.operators.scratch import Scratch
 
 #: Spans at most that the final classifier is trained on, picked by a hash of their place.
@@ -88,9 +90,17 @@ _ADDRESS_AT = re.compile(rf"(?<!\w)(?:Am|Im|Zum|Zur|An der|Auf der|In der|Unter
 _FLAT = str.maketrans({c: " " for c in "\n\r\t.,;:!?()[]{}\"'“”‘’«»„<>/\\|*_#-–—。，、！？：；「」『』（）·"})
 
 
-def _gazetteer() -> ahocorasick.Automaton:
+class Gazetteer:
+    """The words that proposals start from, and the given names among them."""
+
+    def __init__(self, given: frozenset[str] = frozenset()) -> None:
+        self.given = GIVEN | {w for w in given if len(w) > 2 and w not in _STOP_WORDS and w not in ORG_WORDS}
+        self.words = _automaton(self.given)
+
+
+def _automaton(given: set[str]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for w in GIVEN:
+    for w in given:
         found.add_word(f" {w} ", ("given", len(w)))
     for w in (*_STREET, *_STREET_BEFORE, "postfach", "postbus", "apartado", "box", "postale", "postal"):
         found.add_word(f" {w} ", ("street", len(w)))
@@ -128,39 +138,47 @@ def _names(text: str, hits: list[tuple[str, int, int]]) -> Iterator[tuple[int, i
             yield m.start(), m.end()
 
 
-def proposals(text: str, gazetteer: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
+def proposals(text: str, gazetteer: Gazetteer) -> list[tuple[str, int, int]]:
     """(family, start, end) of all proposed spans, none overlapping another."""
     low = text.lower()
     flat = " " + (low if len(low) == len(text) else text).translate(_FLAT) + " "
     hits = []
     street = False
-    for last, (kind, length) in gazetteer.iter(flat):
+    for last, (kind, length) in gazetteer.words.iter(flat):
         street |= kind == "street"
         if kind != "street":
             hits.append((kind, last - length - 1, last - 1))
     found: list[tuple[str, int, int]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for _, x, y in found)
+    starts: list[int] = []
+    ends: list[int] = []
+
+    def take(family: str, a: int, b: int) -> None:
+        """Add a span that overlaps none there is; spans are kept in order."""
+        at = bisect_left(starts, b)
+        if at and ends[at - 1] > a:
+            return
+        starts.insert(at, a)
+        ends.insert(at, b)
+        found.append((family, a, b))
 
     if "@" in text or "at)" in low or "at]" in low or "at}" in low or " dot " in low:
-        found += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text)]
+        for m in _EMAIL.finditer(text):
+            take("email", m.start(), m.end())
     for pattern in (*_ADDRESS, _ADDRESS_AT) if street else (_ADDRESS_AT,):
         for m in pattern.finditer(text):
-            if any(c.isdigit() for c in m[0]) and free(m.start(), m.end()):
-                found.append(("address", m.start(), m.end()))
+            if any(c.isdigit() for c in m[0]):
+                take("address", m.start(), m.end())
     if _QUICK_NUMBER.search(text):
         for m in _NUMBER.finditer(text):
             digits = sum(c.isdigit() for c in m[0])
-            if 5 <= digits <= 17 and (digits >= 7 or m[0][0].isalpha()) and free(m.start(), m.end()):
-                found.append(("number", m.start(), m.end()))
+            if 5 <= digits <= 17 and (digits >= 7 or m[0][0].isalpha()):
+                take("number", m.start(), m.end())
     for a, b in sorted(set(_names(text, hits)), key=lambda x: (x[0], -x[1])):
-        if free(a, b):
-            found.append(("name", a, b))
+        take("name", a, b)
     return found
 
 
-def votes(family: str, text: str, a: int, b: int) -> list[int]:
+def votes(family: str, text: str, a: int, b: int, gazetteer: Gazetteer) -> list[int]:
     """The labellers' votes on one span: a class of its family, or -1."""
     span, before, after = text[a:b], _words_before(text, a), _words_after(text, b)
     near = before[-4:]
@@ -190,7 +208,7 @@ def votes(family: str, text: str, a: int, b: int) -> list[int]:
         ]
     words = [w.strip(".") for w in re.split(r"[\s]+", span.lower())]
     return [
-        0 if words[0] in GIVEN else -1,
+        0 if words[0] in gazetteer.given else -1,
         0 if re.match(rf"^(?:{_CAP}\.\s?)+", span) else -1,
         0 if any(w in NAME_CUES or w in TITLES for w in near[-2:]) else -1,
         1 if any(w in ORG_WORDS for w in [*words, *after[:2]]) else -1,
@@ -276,31 +294,34 @@ def train(rows: list[tuple[list[int], np.ndarray]], n_classes: int, rounds: int
 _SPANS = "family string, start_pos int, end_pos int, pii_text string, votes array<int>, features array<int>"
 
 
-def _proposer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    gazetteer = _gazetteer()
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2048):
-            part = batch.slice(lo, 2048)
-            rows: list[tuple] = []
-            for n, text in enumerate(part.column(part.num_columns - 1).to_pylist()):
-                for family, a, b in proposals(text, gazetteer):
-                    v = votes(family, text, a, b)
-                    rows.append((n, family, a, b, text[a:b], v, features(family, text, a, b, v)))
-            if not rows:
-                continue
-            columns = list(zip(*rows))
-            kept = [c.take(pa.array(columns[0], pa.int64())) for c in part.columns[:-1]]
-            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, *[pa.array(c, t) for c, t in zip(columns[1:], types)]], names=[*part.schema.names[:-1], "family", "start_pos", "end_pos", "pii_text", "votes", "features"]
-            )
-
-
-def spans(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+def _proposer(given: frozenset[str]):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gazetteer = Gazetteer(given)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                rows: list[tuple] = []
+                for n, text in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                    for family, a, b in proposals(text, gazetteer):
+                        v = votes(family, text, a, b, gazetteer)
+                        rows.append((n, family, a, b, text[a:b], v, features(family, text, a, b, v)))
+                if not rows:
+                    continue
+                columns = list(zip(*rows))
+                kept = [c.take(pa.array(columns[0], pa.int64())) for c in part.columns[:-1]]
+                types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, *[pa.array(c, t) for c, t in zip(columns[1:], types)]], names=[*part.schema.names[:-1], "family", "start_pos", "end_pos", "pii_text", "votes", "features"]
+                )
+
+    return work
+
+
+def spans(df: DataFrame, text_col: str, *keep: str, given: Iterable[str] = ()) -> DataFrame:
     """One row per proposed span: ``keep``, its family, offsets, text, votes and features."""
     rows = df.select(*keep, F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_proposer, kept + _SPANS)
+    return rows.mapInArrow(_proposer(frozenset(given)), kept + _SPANS)
 
 
 def fit(proposed: DataFrame) -> dict[str, np.ndarray]:
@@ -309,8 +330,8 @@ def fit(proposed: DataFrame) -> dict[str, np.ndarray]:
     for r in proposed.groupBy("family", "votes").agg(F.count(F.lit(1)).alias("n")).collect():
         patterns[r.family][tuple(r.votes)] = r.n
     truth = {f: reconcile(p, len(CLASSES[f])) for f, p in patterns.items()}
-    order = F.xxhash64("pii_text", "start_pos", "family", "features")
-    sample = proposed.select("family", "votes", "features", order.alias("h")).orderBy("h").limit(TRAIN_SPANS).collect()
+    rows = proposed.select("family", "votes", "features", F.struct("pii_text", "start_pos").alias("place"))
+    sample = hashed_sample(rows, F.col("place"), proposed.count(), TRAIN_SPANS).select("family", "votes", "features").collect()
     return {f: train([(r.features, truth[f][tuple(r.votes)]) for r in sample if r.family == f], len(CLASSES[f])) for f in CLASSES}
 
 
@@ -331,36 +352,37 @@ def _decider(shared):
     return work
 
 
-def personal_items(df: DataFrame, text_col: str, *keep: str, label: str = "pii") -> DataFrame:
+def personal_items(df: DataFrame, text_col: str, *keep: str, given: Iterable[str] = (), label: str = "pii") -> DataFrame:
     """One row per item found: ``keep``, ``start_pos``, ``end_pos``, ``pii_text`` (exactly as written), ``pii_kind``.
 
     Kinds: email, phone, id_number, address, person_name. Offsets are code points,
     the end exclusive. Null texts have no items; rows met repeatedly give theirs as
     often; a table without texts gives none. Texts are used whole. ``keep`` may not
-    contain the names made here.
+    contain the names made here. ``given`` adds given names to the gazetteer.
     """
-    proposed = Scratch(df.sparkSession, label).save(spans(df, text_col, *keep))
+    proposed = Scratch(df.sparkSession, label).save(spans(df, text_col, *keep, given=given))
     shared = df.sparkSession.sparkContext.broadcast(fit(proposed))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in proposed.schema.fields if f.name in keep)
     return proposed.mapInArrow(_decider(shared), kept + "start_pos int, end_pos int, pii_text string, pii_kind string").where("pii_kind <> ''")
 
 
-def redacted(df: DataFrame, text_col: str, *keep: str, label: str = "redact") -> DataFrame:
+def redacted(df: DataFrame, text_col: str, *keep: str, given: Iterable[str] = (), label: str = "redact") -> DataFrame:
     """``keep`` and the text with every item replaced by its typed placeholder; texts without items are unchanged.
 
     The classifier is fitted on the spans of all rows first; each text is then
     searched again where it is read, so no text is shuffled.
     """
-    proposed = Scratch(df.sparkSession, label).save(spans(df, text_col))
+    known = frozenset(given)
+    proposed = Scratch(df.sparkSession, label).save(spans(df, text_col, given=known))
     shared = df.sparkSession.sparkContext.broadcast(fit(proposed))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gazetteer, weights = _gazetteer(), shared.value
+        gazetteer, weights = Gazetteer(known), shared.value
         for batch in batches:
             out = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 for family, a, b in sorted(proposals(text, gazetteer), key=lambda x: -x[1]) if text else ():
-                    x = features(family, text, a, b, votes(family, text, a, b))
+                    x = features(family, text, a, b, votes(family, text, a, b, gazetteer))
                     kind = CLASSES[family][int(weights[family][x].sum(0).argmax())]
                     if kind:
                         text = text[:a] + PLACEHOLDER[kind] + text[b:]
