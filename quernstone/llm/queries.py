@@ -35,11 +35,13 @@ def p4_pages(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "campaigns", "ingest_seq", "description")
-    return pii.personal_items(rows, "description", "ingest_seq").select("ingest_seq", "pii_kind", "pii_text").distinct()
+    given = names.given_names(table(spark, root, "campaigns", "organizer"), "organizer")
+    return pii.personal_items(rows, "description", "ingest_seq", given=given).select("ingest_seq", "pii_kind", "pii_text").distinct()
 
 
 def p5_redacted(spark: SparkSession, root: str) -> DataFrame:
-    return pii.redacted(table(spark, root, "campaigns", "ingest_seq", "description"), "description", "ingest_seq")
+    given = names.given_names(table(spark, root, "campaigns", "organizer"), "organizer")
+    return pii.redacted(table(spark, root, "campaigns", "ingest_seq", "description"), "description", "ingest_seq", given=given)
 
 
 def _declared(spark: SparkSession, root: str) -> tuple[DataFrame, language.Model]:
@@ -155,7 +157,22 @@ WITH runs_of_items AS (
 )
 """
 
+#: Every pair that shares a run of three words, counted out.
+_NEAR = r"""
+WITH words AS (
+  SELECT ingest_seq, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(description, '')), '[\p{L}\p{N}]+') AS w FROM campaigns WHERE ingest_seq IS NOT NULL
+), runs AS (
+  SELECT DISTINCT ingest_seq, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM (SELECT * FROM words WHERE len(w) >= 80) x, unnest(range(1, len(w) - 1)) AS t(i)
+), sizes AS (
+  SELECT ingest_seq, count(*) AS n FROM runs GROUP BY ingest_seq
+), met AS (
+  SELECT a.ingest_seq AS a, b.ingest_seq AS b, count(*) AS shared FROM runs a JOIN runs b ON a.run = b.run AND a.ingest_seq < b.ingest_seq GROUP BY a.ingest_seq, b.ingest_seq
+)
+SELECT a AS ingest_seq_a, b AS ingest_seq_b FROM met JOIN sizes x ON x.ingest_seq = a JOIN sizes y ON y.ingest_seq = b WHERE 2 * shared >= x.n + y.n - shared
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": _NEAR,
     "p4_found": _PAGE + "SELECT first_seq, ingest_seq AS copy_seq FROM firsts WHERE ingest_seq <> first_seq",
     "p4_pages": _PAGE + "SELECT first_seq, url, n_copies FROM firsts WHERE ingest_seq = first_seq",
     "p7_found": _P7,
