@@ -103,7 +103,7 @@ def connected_groups(memberships: DataFrame, item: str, tie: str, *, most_rounds
     tied = scratch.save(rows.where(F.col("tie").isNotNull()).join(items, "item").select("v", "tie"))
     scratch.drop(rows)
     labels = least_labels(tied, scratch, most_rounds)
-    placed = items.join(labels, "v", "left").select("item", F.coalesce("l", "v").alias("l"))
+    placed = scratch.save(items.join(labels, "v", "left").select("item", F.coalesce("l", "v").alias("l")))
     groups = scratch.save(placed.groupBy("l").agg(F.min("item").alias("group"), F.count(F.lit(1)).alias("n_rows")))
     lookup = groups.select("l", "group", F.col("n_rows").alias("group_size"))
-    return hot_aware_join(placed, lookup, "l", groups.select("l", "n_rows"), items.count()).select("item", "group", "group_size")
+    return hot_aware_join(placed, lookup, "l", groups.select("l", "n_rows"), placed.count()).select("item", "group", "group_size")
