@@ -40,8 +40,6 @@ from quernstone.operators.skew import hot_aware_join
 MIN_IN_BLOCK = 4
 #: Blocks of a band: the band's lower size divided by this.
 PER_BLOCK = 4
-#: Part of a band's upper limit from which a record is cut twice for the next band.
-UPPER_PART = 0.7
 #: Bits of the full sketch.
 SKETCH_BITS = 512
 #: Candidate pairs at most that are broadcast, the elements of one side with them.
@@ -122,10 +120,6 @@ def block_keys(row: np.ndarray, x: np.ndarray, size: np.ndarray) -> tuple[np.nda
     with np.errstate(over="ignore"):
         # Each band is cut twice, by different hashes.
         for up, cut in ((0, 0), (0, 1), (1, 0), (1, 1)):
-            if (up, cut) == (1, 1):
-                # Partners across the border are mostly of like size: only records near it take the second cut.
-                near = (size >= UPPER_PART * np.exp2(band + 1))[row]
-                row, x = row[near], x[near]
             b = band + up
             blocks = np.maximum(2, np.floor(np.exp2(b) / PER_BLOCK)).astype(np.uint64)
             salt = _mix(b.astype(np.uint64) * _M3 + np.uint64(cut) * _M2)

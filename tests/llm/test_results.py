@@ -57,6 +57,17 @@ def test_sketch_join_finds_what_brute_force_finds(spark):
     assert alike <= found and len(alike) > 30 and len(found) >= 0.9 * len(true)
 
 
+def test_shortened_copies_across_a_band_border_meet():
+    rng = np.random.default_rng(3)
+    met = 0
+    for _ in range(300):
+        whole = np.sort(rng.integers(0, 2**63, 130).astype(np.uint64))
+        short = np.sort(rng.permutation(whole)[:78])
+        a, b = (set(sketchjoin.block_keys(np.zeros(len(s), dtype=np.int64), s, np.array([len(s)]))[1].tolist()) for s in (whole, short))
+        met += bool(a & b)
+    assert met >= 0.92 * 300
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(20):
