@@ -8,7 +8,8 @@ symmetric difference of at most ``(1-t)/(1+t) * (|A|+|B|)``.
 
 Candidates: the element space is cut into blocks by hash, as many as the size
 band asks for, and a record emits the XOR and count of its elements in each block
-that holds at least ``MIN_IN_BLOCK``. Few differences cannot touch every block
+that holds at least ``MIN_IN_BLOCK`` (below ``FINE_BELOW``, small records are cut
+into finer blocks and once more). Few differences cannot touch every block
 (pigeonhole), so a similar pair agrees on some. A record also emits the blocks of
 the next band up, so pairs across a band border meet, and cuts each of the two
 bands twice, so pairs inside one band get four independent chances and others two. The full sketch, whose distance is a proven lower
@@ -18,7 +19,8 @@ elements' 64-bit hashes. Equal element sets are collapsed before any of this.
 Recall: with as many blocks as the largest allowed difference plus one the
 pigeonhole would be a guarantee, but at t = 0.5 such blocks hold so few elements
 that unrelated records agree on them too. The blocks here are larger and give up
-the guarantee: the README has the measured recall. Pairs that share a verified
+the guarantee: the README has the measured recall. Records of at most ``SMALL``
+elements are joined exactly, by their prefixes in hash order. Pairs that share a verified
 neighbour are checked as well, whichever blocks they agree on.
 """
 
@@ -40,6 +42,12 @@ from quernstone.operators.skew import hot_aware_join
 MIN_IN_BLOCK = 4
 #: Blocks of a band: the band's lower size divided by this.
 PER_BLOCK = 4
+#: Below this threshold, bands up to FINE_BAND are cut FINE_CUTS times, into blocks of fewer elements.
+FINE_BELOW, FINE_BAND, FINE_CUTS = 0.8, 8, 3
+#: As PER_BLOCK and MIN_IN_BLOCK, for these.
+PER_FINE, MIN_IN_FINE = 2, 3
+#: Rows of at most so many elements are joined exactly.
+SMALL = 32
 #: Bits of the full sketch.
 SKETCH_BITS = 512
 #: Candidate pairs at most that are broadcast, the elements of one side with them.
@@ -113,30 +121,59 @@ def element_sets(texts: list[str], run: int, min_words: int, hashes: _Words) ->
     return np.array(kept), row[first], x[first]
 
 
-def block_keys(row: np.ndarray, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for every block of the row's own band and of the next."""
+def block_keys(row: np.ndarray, x: np.ndarray, size: np.ndarray, threshold: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for every block of the row's own band and of the next, and for the prefix of every small row."""
     band = np.floor(np.log2(np.maximum(size, 2))).astype(np.int64)
     rows, keys = [], []
     with np.errstate(over="ignore"):
-        # Each band is cut twice, by different hashes.
-        for up, cut in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        # Each band is cut twice, by different hashes; low bands at low thresholds thrice, into smaller blocks.
+        fine_band = FINE_BAND if threshold < FINE_BELOW else -1
+        cuts = [(up, cut, False) for up in (0, 1) for cut in (0, 1)] + [(up, 2 + cut, True) for up in (0, 1) for cut in range(FINE_CUTS)]
+        for up, cut, fine in cuts:
             b = band + up
-            blocks = np.maximum(2, np.floor(np.exp2(b) / PER_BLOCK)).astype(np.uint64)
+            per, least = (PER_FINE, MIN_IN_FINE) if fine else (PER_BLOCK, MIN_IN_BLOCK)
+            of_kind = ((b <= fine_band) == fine)[row]
+            own_row, own_x = row[of_kind], x[of_kind]
+            blocks = np.maximum(2, np.floor(np.exp2(b) / per)).astype(np.uint64)
             salt = _mix(b.astype(np.uint64) * _M3 + np.uint64(cut) * _M2)
-            y = _mix(x ^ salt[row])
-            block = (y >> np.uint64(20)) % blocks[row]
-            order = np.lexsort((block, row))
-            r, g, v = row[order], block[order], x[order]
+            y = _mix(own_x ^ salt[own_row])
+            block = (y >> np.uint64(20)) % blocks[own_row]
+            order = np.lexsort((block, own_row))
+            r, g, v = own_row[order], block[order], own_x[order]
             start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (r[1:] != r[:-1])]) if len(r) else np.array([], dtype=np.int64)
             if not len(start):
                 continue
             count = np.diff(np.r_[start, len(r)])
             xor = np.bitwise_xor.reduceat(v, start)
-            keep = count >= MIN_IN_BLOCK
+            keep = count >= least
             s = start[keep]
             key = _mix(xor[keep] + g[s] * _M1 + salt[r[s]] + count[keep].astype(np.uint64) * _M3)
             rows.append(r[s])
             keys.append(key)
+    small_rows, small_keys = prefix_keys(row, x, size, threshold)
+    rows.append(small_rows)
+    keys.append(small_keys)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def prefix_keys(row: np.ndarray, x: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) such that two rows of the threshold, one of at most SMALL elements, always share a key.
+
+    Such rows share ``ceil(threshold * n)`` elements of n, so, in any common order, one
+    among the first ``n - ceil(threshold * n) + 1`` and two among one more. Above 0.5
+    different sets share two elements at least, and the key is a pair.
+    """
+    pair = threshold > 0.5
+    rows, keys = [], []
+    ends = np.r_[0, np.cumsum(size)]
+    for i in np.flatnonzero(size * threshold <= SMALL + 1e-9):
+        n = int(size[i])
+        first = np.sort(_mix(x[ends[i] : ends[i + 1]] ^ _M2))[: min(n, n - int(np.ceil(threshold * n - 1e-9)) + 1 + pair)]
+        if pair:
+            a, b = np.triu_indices(len(first), 1)
+            first = first[a] * _M1 + first[b]
+        rows.append(np.full(len(first), i))
+        keys.append(_mix(first ^ _M3))
     return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.array([], dtype=np.int64), np.array([], dtype=np.uint64))
 
 
@@ -190,16 +227,20 @@ def _records(run: int, min_words: int):
     return work
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(threshold: float):
     """For mapInArrow over (class, elements): the block keys of every class."""
-    for batch in batches:
-        elements = batch.column(1)
-        ends = elements.offsets.to_numpy().astype(np.int64)
-        size = np.diff(ends)
-        x = _mix(elements.values.to_numpy()[ends[0] : ends[-1]].view(np.uint32).astype(np.uint64))
-        row = np.repeat(np.arange(len(size)), size)
-        at, key = block_keys(row, x, size)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column(0).to_numpy()[at])], names=["key", "class"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements = batch.column(1)
+            ends = elements.offsets.to_numpy().astype(np.int64)
+            size = np.diff(ends)
+            x = _mix(elements.values.to_numpy()[ends[0] : ends[-1]].view(np.uint32).astype(np.uint64))
+            row = np.repeat(np.arange(len(size)), size)
+            at, key = block_keys(row, x, size, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column(0).to_numpy()[at])], names=["key", "class"])
+
+    return work
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
@@ -245,7 +286,7 @@ def near_duplicate_links(df: DataFrame, id_col: str, text: Column, *, run: int =
     sets = scratch.save(source.mapInArrow(_records(run, min_words), _RECORDS))
     # At most one row per class and task: a class with a third of all rows is as cheap as any other from here on.
     classes = sets.where(F.col("elements").isNotNull())
-    keys = classes.select("class", "elements").mapInArrow(_keys, "key long, class long")
+    keys = classes.select("class", "elements").mapInArrow(_keys(threshold), "key long, class long")
     met = keys.select("key", F.col("class").alias("a")).join(keys.select("key", F.col("class").alias("b")), "key").where("a < b").select("a", "b").distinct()
     links = scratch.save(_verified(met, classes, threshold, scratch))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -68,6 +68,17 @@ def test_shortened_copies_across_a_band_border_meet():
     assert met >= 0.92 * 300
 
 
+@pytest.mark.parametrize("a, b, shared, threshold, least", [(4, 5, 4, 0.8, 1), (8, 10, 8, 0.8, 1), (12, 15, 12, 0.8, 1), (1, 2, 1, 0.5, 1), (20, 20, 14, 0.5, 1), (78, 78, 52, 0.5, 0.98), (150, 150, 100, 0.5, 0.98)])
+def test_small_records_meet_at_the_threshold(a, b, shared, threshold, least):
+    rng = np.random.default_rng(9)
+    met = 0
+    for _ in range(200):
+        u = rng.integers(0, 2**63, a + b - shared).astype(np.uint64)
+        x, y = (set(sketchjoin.block_keys(np.zeros(len(s), dtype=np.int64), np.sort(s), np.array([len(s)]), threshold)[1].tolist()) for s in (u[:a], u[a - shared :]))
+        met += bool(x & y)
+    assert met >= least * 200
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(20):
