@@ -72,10 +72,12 @@ def components(edges: DataFrame, *, rounds: int = 60, label: str = "graph") -> D
     raise RuntimeError(f"stars still move after {rounds} rounds")
 
 
-def louvain_level(nodes: list, edges: list[tuple], total: float, passes: int = 20) -> dict:
+def louvain_level(nodes: list, edges: list[tuple], total: float) -> dict:
     """Communities of one component: nodes move to the neighbouring community of greatest modularity gain until none gains.
 
     ``total`` is twice the edge weight of the whole graph, which the gain depends on.
+    An edge from a node to itself counts twice in its degree. Every move raises the
+    modularity, so the passes end.
     """
     near: dict = {n: {} for n in nodes}
     for a, b, w in edges:
@@ -83,7 +85,8 @@ def louvain_level(nodes: list, edges: list[tuple], total: float, passes: int = 2
         near[b][a] = near[b].get(a, 0.0) + w
     degree = {n: sum(x.values()) for n, x in near.items()}
     home, mass = {n: n for n in nodes}, dict(degree)
-    for _ in range(passes):
+    moved = True
+    while moved:
         moved = False
         for n in sorted(nodes):
             mine = home[n]
@@ -93,16 +96,29 @@ def louvain_level(nodes: list, edges: list[tuple], total: float, passes: int = 2
                 if other != n:
                     gain[home[other]] = gain.get(home[other], 0.0) + w
             best = max(gain, key=lambda c: (gain[c] - mass[c] * degree[n] / total, -1 if c != mine else 0, str(c)))
-            if gain[best] - mass[best] * degree[n] / total <= gain[mine] - mass[mine] * degree[n] / total + 1e-12:
+            if gain[best] - mass[best] * degree[n] / total <= gain[mine] - mass[mine] * degree[n] / total + 1e-12 * degree[n]:
                 best = mine
             mass[best] += degree[n]
             moved |= best != mine
             home[n] = best
-        if not moved:
-            break
     return home
 
 
+def louvain_levels(nodes: list, edges: list[tuple], total: float) -> dict:
+    """As :func:`louvain_level`, then the communities become nodes of a weighted graph and move likewise, until none gains."""
+    home = {n: n for n in nodes}
+    while True:
+        level = louvain_level(nodes, edges, total)
+        if all(level[n] == n for n in nodes):
+            return home
+        home = {n: level[c] for n, c in home.items()}
+        between: dict = {}
+        for a, b, w in edges:
+            pair = tuple(sorted((level[a], level[b])))
+            between[pair] = between.get(pair, 0.0) + w
+        nodes, edges = sorted(set(level.values())), [(a, b, w) for (a, b), w in between.items()]
+
+
 #: Components of more edges than this are not gathered in one task.
 MOST_EDGES = 200_000
 
@@ -128,7 +144,7 @@ def spread_labels(edges: DataFrame, rounds: int = 12, *, label: str = "spread")
 
 
 def communities(edges: DataFrame, weight: str = "weight", *, label: str = "louvain") -> DataFrame:
-    """``node``, ``community`` (its least node): local moving of modularity, component by component.
+    """``node``, ``community`` (its least node): Louvain's method with all its levels, component by component.
 
     Components of at most MOST_EDGES edges are one group each. The weight of the whole
     graph, one number, is passed in, so the result is that of moving nodes in the
@@ -143,7 +159,7 @@ def communities(edges: DataFrame, weight: str = "weight", *, label: str = "louva
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted(set(group["src"]) | set(group["dst"]))
-        home = louvain_level(nodes, list(zip(group["src"], group["dst"], group["w"])), total)
+        home = louvain_levels(nodes, list(zip(group["src"], group["dst"], group["w"])), total)
         least: dict = {}
         for n in nodes:
             least.setdefault(home[n], n)

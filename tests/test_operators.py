@@ -159,6 +159,20 @@ class TestIdentity:
         assert set(found) == {f"{g}{i}" for g in "xy" for i in range(5)} | {"z0", "z1"}
         assert len({found[f"x{i}"] for i in range(5)}) == len({found[f"y{i}"] for i in range(5)}) == 1 and found["z0"] == found["z1"] == "z0"
 
+    def test_communities_of_a_ring_of_cliques_merge(self, spark):
+        n = 40
+        ring = [(3 * i + a, 3 * i + b, 1) for i in range(n) for a, b in combinations(range(3), 2)]
+        ring += [(3 * i + 2, 3 * ((i + 1) % n), 1) for i in range(n)]
+        found = dict(got(I.communities(spark.createDataFrame(ring, "src int, dst int, weight long"))))
+        total = 2 * len(ring)
+        mass: dict = {}
+        for a, b, _ in ring:
+            for x in (a, b):
+                mass[found[x]] = mass.get(found[x], 0) + 1
+        modularity = sum(found[a] == found[b] for a, b, _ in ring) / len(ring) - sum(m * m for m in mass.values()) / total**2
+        # One clique a community has 0.725, two cliques a community 0.825.
+        assert modularity >= 0.825
+
     def test_mean_cosine_against_pairs(self, spark):
         rng = random.Random(2)
         rows = [(g, [rng.gauss(0, 1) for _ in range(4)]) for g in (1, 1, 1, 2, 2, 3)]
