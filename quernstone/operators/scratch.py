@@ -4,6 +4,9 @@ Iterative operators must not grow one plan for ever and must survive the loss of
 executors, so each round is written as a table in the folder that the session
 names in ``spark.checkpoint.dir``. Only where that is unset (local tests) is a
 folder of our own made. ``localCheckpoint`` is never used.
+
+Shuffle files of a saved plan are removed as soon as its table is written, and the
+tables themselves when the application ends, or before that by :func:`clean`.
 """
 
 from __future__ import annotations
@@ -32,6 +35,15 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+#: Removes the shuffle files of a plan when its execution ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 class Scratch:
     """Tables of one operator run, each under its own path in the shared folder."""
 
@@ -39,19 +51,35 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self._next = 0
+        path, files = _file_system(spark, self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        spark._quernstone_roots = [*getattr(spark, "_quernstone_roots", []), self.root]
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return it as read back, with a fresh lineage."""
         path = f"{self.root}/{self._next}"
         self._next += 1
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         saved = self.spark.read.schema(schema).parquet(path)
         saved._quernstone_path = path
         return saved
 
     def drop(self, saved: DataFrame) -> None:
         """Delete a table of :meth:`save` that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(saved._quernstone_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = _file_system(self.spark, saved._quernstone_path)
+        files.delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this session's operators have written; results not yet read or written are lost."""
+    for root in getattr(spark, "_quernstone_roots", []):
+        path, files = _file_system(spark, root)
+        files.delete(path, True)
+    spark._quernstone_roots = []
