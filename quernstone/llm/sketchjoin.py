@@ -1,27 +1,32 @@
 """Near-duplicate join by parity sketches.
 
-A record is the set of its distinct runs of ``run`` words. XOR-hashing a set into
-a bit sketch toggles one bit per element, so the Hamming distance of two sketches
-never exceeds the size of the sets' symmetric difference. Two records with
-Jaccard similarity ``t`` or more have sizes within a factor ``1/t`` and a
-symmetric difference of at most ``(1-t)/(1+t) * (|A|+|B|)``.
-
-Candidates: the element space is cut into blocks by hash, as many as the size
-band asks for, and a record emits the XOR and count of its elements in each block
-that holds at least ``MIN_IN_BLOCK`` (below ``FINE_BELOW``, small records are cut
-into finer blocks and once more). Few differences cannot touch every block
-(pigeonhole), so a similar pair agrees on some. A record also emits the blocks of
-the next band up, so pairs across a band border meet, and cuts each of the two
-bands twice, so pairs inside one band get four independent chances and others two. The full sketch, whose distance is a proven lower
-bound, then discards candidates before the exact check, which compares the
-elements' 64-bit hashes. Equal element sets are collapsed before any of this.
-
-Recall: with as many blocks as the largest allowed difference plus one the
-pigeonhole would be a guarantee, but at t = 0.5 such blocks hold so few elements
-that unrelated records agree on them too. The blocks here are larger and give up
-the guarantee: the README has the measured recall. Records of at most ``SMALL``
-elements are joined exactly, by their prefixes in hash order. Pairs that share a verified
-neighbour are checked as well, whichever blocks they agree on.
+A record is the set of its distinct runs of ``run`` words, each a 32-bit hash.
+XOR-hashing a set into a bit sketch toggles one bit per element, so the Hamming
+distance of two sketches never exceeds the size of the sets' symmetric difference.
+Two records with Jaccard similarity ``t`` or more have sizes within a factor
+``1/t`` and a symmetric difference of at most ``(1-t)/(1+t) * (|A|+|B|)``.
+
+The sketch has one bit for each 32-bit hash, so it is kept as the elements
+themselves. Two things are made of it:
+
+- *Segments.* A size band (half an octave of set sizes) cuts the sketch into as many
+  segments as differences must not exceed for one to stay untouched (pigeonhole),
+  or fewer, so that a segment of a band's record holds ``PER_SEGMENT`` bits or more.
+  Segments with ``MIN_IN_SEGMENT`` bits are join keys. A record emits those of its
+  own band and of all bands up to ``1/t`` times its size, so any two records that can
+  reach the threshold meet in at least one band. Bands of few segments are cut up to
+  ``MOST_CUTS`` times.
+- *The folded sketch*: all bits folded onto ``SKETCH_BITS`` by XOR. Its distance is
+  still a lower bound of the difference and discards candidates before the exact
+  check of their elements.
+
+Equal element sets are collapsed before any of this. Keys under which more than
+``MOST_OF_KEY`` classes meet are not spelled out as pairs: their classes are compared
+in blocks, sketch against sketch, and only pairs within the bound come out.
+
+Records of few elements are joined exactly at any threshold, by prefixes in hash
+order. Beyond that the segments are larger than the pigeonhole asks for; recall is
+measured in the README. All candidates come from keys, none through other links.
 """
 
 from __future__ import annotations
@@ -38,26 +43,34 @@ from pyspark.sql import functions as F
 from quernstone.operators.scratch import Scratch
 from quernstone.operators.skew import hot_aware_join
 
-#: Elements a block must hold to be emitted: smaller ones agree by chance.
-MIN_IN_BLOCK = 4
-#: Blocks of a band: the band's lower size divided by this.
-PER_BLOCK = 4
-#: Below this threshold, bands up to FINE_BAND are cut FINE_CUTS times, into blocks of fewer elements.
-FINE_BELOW, FINE_BAND, FINE_CUTS = 0.8, 8, 3
-#: As PER_BLOCK and MIN_IN_BLOCK, for these.
-PER_FINE, MIN_IN_FINE = 2, 3
+#: Bits of a record that a segment holds on average, at a band's lower end.
+PER_SEGMENT = 3
+#: Bits a segment must hold to be a key: smaller ones agree by chance.
+MIN_IN_SEGMENT = 4
+#: Bands per octave of set sizes.
+PER_OCTAVE = 2
+#: A band is cut again, by other hashes, until it has so many segments or MOST_CUTS cuts.
+ENOUGH_SEGMENTS, MOST_CUTS = 120, 5
+#: Rounds in which the bands are joined, to bound the disk that keys take.
+ROUNDS = 3
 #: Rows of at most so many elements are joined exactly.
 SMALL = 32
 #: Bits of the full sketch.
 SKETCH_BITS = 512
-#: Candidate pairs at most that are broadcast, the elements of one side with them.
-FEW_PAIRS = 5_000
 #: Names of candidates' classes at most (8 bytes each) that are broadcast to the elements.
 MOST_ENDS = 1_000_000
+#: Classes under one key that are paired by the join itself; larger groups are compared in blocks of half as many.
+MOST_OF_KEY = 2_000
+#: Keys that a task pairs at once, 16 bytes each.
+KEYS_OF_TASK = 4_000_000
+#: Hot keys are told by one in so many classes. At most MOST_ENDS hot keys are broadcast.
+ONE_IN = 64
 #: Words remembered with their hash, per Python worker.
 MEMO = 500_000
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
+#: The same for ASCII texts: all but letters and digits becomes a space.
+_ASCII = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 _M1, _M2, _M3, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -67,13 +80,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words of a text, in lower case, as bytes."""
+    if text.isascii():
+        return text.lower().encode().translate(_ASCII).split()
+    return [w.encode() for w in _WORD.findall(text.lower())]
+
+
 class _Words:
     """Hashes of words, remembered while the vocabulary fits."""
 
     def __init__(self) -> None:
-        self.seen: dict[str, int] = {}
+        self.seen: dict[bytes, int] = {}
 
-    def __call__(self, words: list[str]) -> list[int]:
+    def __call__(self, words: list[bytes]) -> list[int]:
         seen = self.seen
         try:
             return [seen[w] for w in words]
@@ -90,13 +110,13 @@ class _Words:
 def element_sets(texts: list[str], run: int, min_words: int, hashes: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the texts with at least ``min_words`` words: (their positions, each element's row among them, the element).
 
-    Elements are distinct per row and sorted by (row, element).
+    Elements are 32-bit hashes, distinct per row and sorted by (row, element).
     """
     kept: list[int] = []
     flat: list[int] = []
     sizes: list[int] = []
     for i, text in enumerate(texts):
-        words = _WORD.findall(text.lower())
+        words = words_of(text)
         if len(words) >= max(min_words, run):
             kept.append(i)
             sizes.append(len(words))
@@ -113,46 +133,58 @@ def element_sets(texts: list[str], run: int, min_words: int, hashes: _Words) ->
             x = x * _M1 + h[k : k + m] * (_M2 + np.uint64(2 * k))
         x = _mix(x)
     inside = row[:m] == row[run - 1 :]
-    x, row = x[inside], row[:m][inside]
-    order = np.lexsort((x, row))
-    x, row = x[order], row[order]
+    # Row and element in one number, which sorts faster than two columns.
+    both = np.sort((row[:m][inside].astype(np.uint64) << np.uint64(32)) | (x[inside] >> np.uint64(32)))
+    row, x = (both >> np.uint64(32)).astype(np.int64), both & np.uint64(0xFFFFFFFF)
     first = np.ones(len(x), dtype=bool)
     first[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
     return np.array(kept), row[first], x[first]
 
 
-def block_keys(row: np.ndarray, x: np.ndarray, size: np.ndarray, threshold: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for every block of the row's own band and of the next, and for the prefix of every small row."""
-    band = np.floor(np.log2(np.maximum(size, 2))).astype(np.int64)
+def segments_of(band: np.ndarray) -> np.ndarray:
+    """Number of segments of a band."""
+    return np.maximum(2, np.floor(np.exp2(band / PER_OCTAVE) / PER_SEGMENT)).astype(np.int64)
+
+
+def block_keys(row: np.ndarray, x: np.ndarray, size: np.ndarray, threshold: float = 0.5, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for the segments of all bands that a row takes part in, and for the prefix of every small row.
+
+    Of ``parts`` parts only the bands, and the small rows, of ``part`` are made.
+    """
+    own = np.floor(np.log2(np.maximum(size, 2)) * PER_OCTAVE + 1e-9).astype(np.int64)
+    # Bands up to that of the largest set that can reach the threshold.
+    last = np.floor(np.log2(np.maximum(size, 2) / threshold) * PER_OCTAVE + 1e-9).astype(np.int64)
     rows, keys = [], []
     with np.errstate(over="ignore"):
-        # Each band is cut twice, by different hashes; low bands at low thresholds thrice, into smaller blocks.
-        fine_band = FINE_BAND if threshold < FINE_BELOW else -1
-        cuts = [(up, cut, False) for up in (0, 1) for cut in (0, 1)] + [(up, 2 + cut, True) for up in (0, 1) for cut in range(FINE_CUTS)]
-        for up, cut, fine in cuts:
-            b = band + up
-            per, least = (PER_FINE, MIN_IN_FINE) if fine else (PER_BLOCK, MIN_IN_BLOCK)
-            of_kind = ((b <= fine_band) == fine)[row]
-            own_row, own_x = row[of_kind], x[of_kind]
-            blocks = np.maximum(2, np.floor(np.exp2(b) / per)).astype(np.uint64)
-            salt = _mix(b.astype(np.uint64) * _M3 + np.uint64(cut) * _M2)
-            y = _mix(own_x ^ salt[own_row])
-            block = (y >> np.uint64(20)) % blocks[own_row]
-            order = np.lexsort((block, own_row))
-            r, g, v = own_row[order], block[order], own_x[order]
-            start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (r[1:] != r[:-1])]) if len(r) else np.array([], dtype=np.int64)
-            if not len(start):
-                continue
-            count = np.diff(np.r_[start, len(r)])
-            xor = np.bitwise_xor.reduceat(v, start)
-            keep = count >= least
-            s = start[keep]
-            key = _mix(xor[keep] + g[s] * _M1 + salt[r[s]] + count[keep].astype(np.uint64) * _M3)
-            rows.append(r[s])
-            keys.append(key)
-    small_rows, small_keys = prefix_keys(row, x, size, threshold)
-    rows.append(small_rows)
-    keys.append(small_keys)
+        bits = _mix(x)
+        for up in range(int((last - own).max(initial=0)) + 1):
+            band = own + up
+            segments = segments_of(band)
+            cuts = np.clip(-(-ENOUGH_SEGMENTS // segments), 1, MOST_CUTS)
+            for cut in range(int(cuts.max(initial=0))):
+                takes = np.flatnonzero((band <= last) & (cut < cuts) & (band % parts == part))
+                if not len(takes):
+                    continue
+                mine = slice(None) if len(takes) == len(size) else np.repeat(np.isin(np.arange(len(size)), takes), size)
+                v, n, width = bits[mine], size[takes], segments[takes]
+                salt = _mix(band[takes].astype(np.uint64) * _M3 + np.uint64(cut) * _M2)
+                # Every row has its segments side by side in one array.
+                base = np.r_[0, np.cumsum(width)]
+                place = ((((v ^ np.repeat(salt, n)) * _MIX) >> np.uint64(32)) * np.repeat(width.astype(np.uint64), n) >> np.uint64(32)).astype(np.int64) + np.repeat(base[:-1], n)
+                count = np.bincount(place, minlength=base[-1])
+                # The bits that stand in a segment, hashed to one number; every element sets a bit of its own.
+                content = np.zeros(base[-1], dtype=np.uint64)
+                np.add.at(content, place, v)
+                kept = np.flatnonzero(count >= MIN_IN_SEGMENT)
+                at = np.searchsorted(base, kept, side="right") - 1
+                rows.append(takes[at])
+                keys.append(_mix(content[kept] + (kept - base[at]).astype(np.uint64) * _M1 + salt[at] + count[kept].astype(np.uint64) * _M3))
+    if part == 0:
+        small_rows, small_keys = prefix_keys(row, x, size, threshold)
+        rows.append(small_rows)
+        keys.append(small_keys)
+    if not rows:
+        return np.array([], dtype=np.int64), np.array([], dtype=np.uint64)
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -212,7 +244,7 @@ def _records(run: int, min_words: int):
                 own = ~again[row]
                 sketch = parity_sketch(row, x, n)
                 ends = np.r_[0, np.cumsum(np.where(again, 0, size))].astype(np.int32)
-                elements = pa.ListArray.from_arrays(pa.array(ends), pa.array((x[own] >> np.uint64(32)).astype(np.uint32).view(np.int32)), mask=pa.array(again))
+                elements = pa.ListArray.from_arrays(pa.array(ends), pa.array(x[own].astype(np.uint32).view(np.int32)), mask=pa.array(again))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[lo:][kept].astype(np.int64)),
@@ -227,49 +259,121 @@ def _records(run: int, min_words: int):
     return work
 
 
-def _keys(threshold: float):
-    """For mapInArrow over (class, elements): the block keys of every class."""
+def _keys(threshold: float, part: int, parts: int):
+    """For mapInArrow over (class, elements): the keys of every class."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             elements = batch.column(1)
             ends = elements.offsets.to_numpy().astype(np.int64)
             size = np.diff(ends)
-            x = _mix(elements.values.to_numpy()[ends[0] : ends[-1]].view(np.uint32).astype(np.uint64))
+            x = elements.values.to_numpy()[ends[0] : ends[-1]].view(np.uint32).astype(np.uint64)
             row = np.repeat(np.arange(len(size)), size)
-            at, key = block_keys(row, x, size, threshold)
+            at, key = block_keys(row, x, size, threshold, part, parts)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column(0).to_numpy()[at])], names=["key", "class"])
 
     return work
 
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (key, class), all rows of a key in one task: the pairs of classes that share a key."""
+    found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not found:
+        return
+    key, name = (np.concatenate(x) for x in zip(*found))
+    del found
+    order = np.argsort(key)
+    key, name = key[order], name[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[start, len(key)])
+    for size in np.unique(count[count > 1]).tolist():
+        at = start[count == size]
+        i, j = np.triu_indices(size, 1)
+        # As many keys of a size as make some 4 million pairs.
+        step = max(1, 4_000_000 // len(i))
+        for lo in range(0, len(at), step):
+            x, y = (name[at[lo : lo + step, None] + k].ravel() for k in (i, j))
+            other = x != y
+            both = np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[other]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
+
+
+def _within(a_n, b_n, distance, threshold: float):
+    """Whether sizes and sketch distance leave the threshold possible; for columns and arrays alike."""
+    return (a_n >= b_n * threshold) & (b_n >= a_n * threshold) & (distance <= (a_n + b_n) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+
+
+def _block_compare(threshold: float):
+    """For applyInArrow over two blocks (``side`` 0 and 1, or one block alone) of one hot key: the pairs within the bound."""
+
+    def work(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        name, n = table["class"].to_numpy(), table["n"].to_numpy().astype(np.float64)
+        sketch = np.stack([table[s].to_numpy() for s in _SKETCH], axis=1)
+        left = np.flatnonzero(side == side.min())
+        right = np.flatnonzero(side == side.max())
+        found_a, found_b = [], []
+        for i in left.tolist():
+            distance = np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1)
+            j = right[_within(n[i], n[right], distance, threshold) & (name[right] != name[i])]
+            found_a.append(np.minimum(name[i], name[j]))
+            found_b.append(np.maximum(name[i], name[j]))
+        both = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1)
+        return pa.table({"a": both[0], "b": both[1]})
+
+    return work
+
+
+def _candidates(classes: DataFrame, hot: DataFrame | None, threshold: float, part: int, tasks: int, most_of_key: int) -> DataFrame:
+    """Pairs (``a, b``) of classes that share a key of ``part``; ``hot`` has the keys (``key, n_key``) that many share."""
+    keys = classes.select("class", "elements").mapInArrow(_keys(threshold, part, ROUNDS), "key long, class long")
+    few = keys if hot is None else keys.join(hot, "key", "left_anti")
+    met = few.repartition(tasks, "key").mapInArrow(_paired, "a long, b long")
+    if hot is None:
+        return met.distinct()
+    n_blocks = F.ceil(F.col("n_key") * 2 / F.lit(most_of_key)).cast("int")
+    many = keys.join(hot, "key").withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    # Each block meets every other once: a class goes to as many places as there are blocks.
+    spread = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("key", "class", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    placed = spread.join(classes.select("class", "n", *_SKETCH), "class")
+    compared = placed.groupBy("key", "lo", "hi").applyInArrow(_block_compare(threshold), "a long, b long")
+    return met.unionByName(compared).distinct()
+
+
+def _hot_keys(classes: DataFrame, threshold: float, most_of_key: int, one_in: int, scratch: Scratch) -> DataFrame | None:
+    """The keys that some ``most_of_key`` classes or more share, told by one class in ``one_in``; either way of joining is exact."""
+    some = classes.where(F.pmod(F.xxhash64("class"), F.lit(one_in)) == 0).select("class", "elements")
+    found = None
+    for part in range(ROUNDS):
+        keys = some.mapInArrow(_keys(threshold, part, ROUNDS), "key long, class long")
+        found = keys if found is None else found.unionByName(keys)
+    counted = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * one_in >= most_of_key)
+    hot = scratch.save(counted.select("key", (F.col("n") * one_in).alias("n_key")))
+    n_hot = hot.count()
+    return None if not n_hot else F.broadcast(hot) if n_hot <= MOST_ENDS else hot
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """The (a, b) whose sketches allow, and whose elements reach, the threshold."""
     # A class has a row per task that met it; what they double is dropped with the pairs.
     side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(s).alias(f"{x}_{s}") for s in _SKETCH])
     distance = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _SKETCH[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-    n = F.col("a_n") + F.col("b_n")
-    near = (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where((F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(threshold)) & (distance <= n * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-9)))
-        .select("a", "b", n.alias("n"))
-        .distinct()
-    )
-    near = scratch.save(near)
-    # Few candidates are sent to the elements; otherwise both are shuffled.
-    n_near = near.count()
-    sent = F.broadcast if n_near <= FEW_PAIRS else lambda df: df
+    possible = _within(F.col("a_n"), F.col("b_n"), distance, threshold)
+    # Names and sketches of a task's classes fit its memory, so the pairs need no sorting.
+    near = scratch.save(pairs.join(side("a").hint("shuffle_hash"), "a").join(side("b").hint("shuffle_hash"), "b").where(possible).select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n")).distinct())
     # While their names are few, only the classes of candidates are moved.
-    ends = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct()
-    if 2 * n_near <= MOST_ENDS:
+    if 2 * near.count() <= MOST_ENDS:
+        ends = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct()
         classes = classes.join(F.broadcast(ends), "class", "left_semi")
     whole = lambda x: classes.select(F.col("class").alias(x), F.col("elements").alias(f"{x}_e"))
     shared = F.size(F.array_intersect("a_e", "b_e"))
-    return sent(sent(near).join(whole("a"), "a")).join(whole("b"), "b").where(shared >= (F.col("n") - shared) * F.lit(threshold) - F.lit(1e-9)).select("a", "b").distinct()
+    return near.join(whole("a"), "a").join(whole("b"), "b").where(shared >= (F.col("n") - shared) * F.lit(threshold) - F.lit(1e-9)).select("a", "b").distinct()
 
 
-def near_duplicate_links(df: DataFrame, id_col: str, text: Column, *, run: int = 5, threshold: float = 0.8, min_words: int = 0, label: str = "sketchjoin") -> tuple[DataFrame, DataFrame]:
+def near_duplicate_links(
+    df: DataFrame, id_col: str, text: Column, *, run: int = 5, threshold: float = 0.8, min_words: int = 0, most_of_key: int = MOST_OF_KEY, one_in: int = ONE_IN, label: str = "sketchjoin"
+) -> tuple[DataFrame, DataFrame]:
     """Links between near-duplicate records: (links ``a, b`` between classes, membership ``class, rep, id``).
 
     A class is all records with one element set, named by a 64-bit hash of the set;
@@ -286,16 +390,17 @@ def near_duplicate_links(df: DataFrame, id_col: str, text: Column, *, run: int =
     sets = scratch.save(source.mapInArrow(_records(run, min_words), _RECORDS))
     # At most one row per class and task: a class with a third of all rows is as cheap as any other from here on.
     classes = sets.where(F.col("elements").isNotNull())
-    keys = classes.select("class", "elements").mapInArrow(_keys(threshold), "key long, class long")
-    met = keys.select("key", F.col("class").alias("a")).join(keys.select("key", F.col("class").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    links = scratch.save(_verified(met, classes, threshold, scratch))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    through = both.select(F.col("a").alias("via"), F.col("b").alias("a")).join(both.select(F.col("a").alias("via"), "b"), "via").where("a < b").select("a", "b").distinct()
-    more = scratch.save(_verified(through.join(links, ["a", "b"], "left_anti"), classes, threshold, scratch))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(classes.agg(F.sum("n")).first()[0] or 0) // KEYS_OF_TASK))
+    hot = _hot_keys(classes, threshold, most_of_key, one_in, scratch)
+    met = None
+    for part in range(ROUNDS):
+        pairs = scratch.save(_candidates(classes, hot, threshold, part, tasks, most_of_key))
+        met = pairs if met is None else met.unionByName(pairs)
+    links = scratch.save(_verified(met.distinct(), classes, threshold, scratch))
     rows = sets.select("class", "id").distinct()
     of_class = scratch.save(rows.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_rows")))
     member = hot_aware_join(rows, of_class.select("class", "rep"), "class", of_class.select("class", "n_rows"), sets.count())
-    return links.unionByName(more), member
+    return links, member
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text: Column, **options) -> DataFrame:

@@ -258,3 +258,26 @@ def test_sentences_of_other_scripts_and_lines(spark, text, units):
         assert [r.sentence for r in found] == units
     else:
         assert "".join(r.sentence for r in found).replace(" ", "") == text.replace(" ", "")
+
+
+def test_hot_keys_are_compared_in_blocks(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(500)}"
+        texts.append(words)
+    sets = [frozenset(zip(t, t[1:], t[2:])) for t in texts]
+    true = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(sets[i] & sets[j]) * 2 >= len(sets[i] | sets[j])}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, t string")
+    found = set(got(sketchjoin.near_duplicate_pairs(df, "id", F.col("t"), run=3, threshold=0.5, most_of_key=8, one_in=1)))
+    assert found <= true and len(found) >= 0.98 * len(true)
+    assert found == set(got(sketchjoin.near_duplicate_pairs(df, "id", F.col("t"), run=3, threshold=0.5)))
+
+
+@pytest.mark.parametrize("ascii_text, other", [("A-b_c 12d'e", "Ünïcode ½ x")])
+def test_words_are_letters_and_digits(ascii_text, other):
+    assert sketchjoin.words_of(ascii_text) == [b"a", b"b", b"c", b"12d", b"e"]
+    assert [w.decode() for w in sketchjoin.words_of(other)] == ["ünïcode", "½", "x"]
