@@ -281,3 +281,14 @@ def test_hot_keys_are_compared_in_blocks(spark):
 def test_words_are_letters_and_digits(ascii_text, other):
     assert sketchjoin.words_of(ascii_text) == [b"a", b"b", b"c", b"12d", b"e"]
     assert [w.decode() for w in sketchjoin.words_of(other)] == ["ünïcode", "½", "x"]
+
+
+def test_minima_rarely_give_up_a_pair_at_the_threshold():
+    rng = np.random.default_rng(4)
+    kept = 0
+    for _ in range(300):
+        u = rng.integers(0, 2**32, 200).astype(np.uint64)
+        x = np.concatenate([u[:150], u[50:]])
+        m = sketchjoin.one_bit_minima(x, np.array([0, 150]))
+        kept += 128 - int(np.bitwise_count((m[0] ^ m[1]).view(np.uint64)).sum()) >= sketchjoin.least_agreement(0.5)
+    assert kept >= 0.99 * 300
