@@ -1,12 +1,14 @@
 """Collapsing records that differ only in formatting, by radix partitioning and tries.
 
 Every record's key is reduced to canonical text; records with equal canonical
-text are copies. The canonical texts are partitioned recursively: a bucket with
-more than its share of rows is split by the next characters after the prefix that
-all its members have in common, until each bucket fits or holds a single text.
-Each fitting bucket is then counted in a trie whose terminals keep their
-counters. A bucket of a single text, however hot, needs no trie and no shuffle:
-its counters come from the partial aggregates of the partitioning itself.
+text are copies. The canonical texts are partitioned recursively: a bucket of more
+than ``MOST_IN_BUCKET`` rows, a limit that no input size moves, is split by the next
+characters after the prefix that all its members have in common, until each bucket
+fits or holds a single text. Only the rows of split buckets are met at the next
+depth, and each depth is written. Each fitting bucket is then counted in a trie
+whose terminals keep their counters, one bucket at a time. A bucket of a single
+text, however hot, needs no trie and no shuffle: its counters come from the partial
+aggregates of the partitioning itself.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import functions as F
 
 from quernstone.operators.scratch import Scratch
 
-#: Least number of rows at which a bucket is split.
-LEAST_BUCKET = 20_000
-#: A bucket is split from 1/BUCKETS of all rows on, so at most BUCKETS buckets are split or hot at each depth.
-BUCKETS = 512
+#: Rows of a bucket at most; larger ones are split. Bounds the memory of a trie.
+MOST_IN_BUCKET = 50_000
+#: Buckets split at one depth whose names are broadcast; more are joined by a shuffle.
+MOST_SENT = 200_000
 #: Characters added to a split bucket's prefix.
 STRIDE = 2
 #: Bytes per edge of a trie.
@@ -59,16 +61,16 @@ def canonical_url(url: Column) -> Column:
 
 
 class _Trie:
-    """Byte strings with a list of record ids at each terminal."""
+    """Byte strings; each terminal counts the records that end there and lists their ids."""
 
     def __init__(self) -> None:
         self.root: dict = {}
 
-    def add(self, key: bytes, record: int) -> None:
+    def add(self, key: bytes, records: list[int]) -> None:
         node = self.root
         for i in range(0, len(key), EDGE):
             node = node.setdefault(key[i : i + EDGE], {})
-        node.setdefault(None, []).append(record)
+        node.setdefault(None, []).extend(records)
 
     def terminals(self) -> Iterator[list[int]]:
         todo = [self.root]
@@ -80,34 +82,41 @@ class _Trie:
                     todo.append(below)
 
 
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (bucket, text, id): one row per text of a batch, with all its ids, so that copies met together move their text once."""
+    for batch in batches:
+        if batch.num_rows:
+            grouped = pa.table(batch).group_by(["bucket", "text"]).aggregate([("id", "list")])
+            yield from grouped.rename_columns(["bucket", "text", "ids"]).to_batches()
+
+
+def _counted(trie: _Trie) -> pa.RecordBatch:
+    terminals = list(trie.terminals())
+    first = np.repeat([min(t) for t in terminals], [len(t) for t in terminals])
+    return pa.RecordBatch.from_arrays([pa.array(first.astype(np.int64)), pa.array(np.concatenate(terminals).astype(np.int64))], names=["first", "id"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (bucket, id, text), whole buckets per partition: (first, id) of every row."""
-    tries: dict[str, _Trie] = {}
+    """For mapInArrow over (bucket, text, ids), sorted by bucket, whole buckets per partition: (first, id) of every row."""
+    present, trie = None, _Trie()
     for batch in batches:
-        for bucket, record, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            trie = tries.get(bucket)
-            if trie is None:
-                trie = tries[bucket] = _Trie()
-            trie.add(text.encode()[len(bucket.encode()) :], record)
-    while tries:
-        _, trie = tries.popitem()
-        firsts, records = [], []
-        for counted in trie.terminals():
-            firsts.append(np.full(len(counted), min(counted), dtype=np.int64))
-            records.append(np.array(counted, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.concatenate(records))], names=["first", "id"])
-
-
-def _common(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
+        for bucket, text, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if bucket != present and trie.root:
+                yield _counted(trie)
+                trie = _Trie()
+            present = bucket
+            trie.add(text.encode()[len(bucket.encode()) :], ids)
+    if trie.root:
+        yield _counted(trie)
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Length of the prefix that two texts have in common."""
+    lengths = F.sequence(F.lit(0), F.least(F.length(a), F.length(b)))
+    return F.array_max(F.filter(lengths, lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
 
 
-def formatting_copies(df: DataFrame, id_col: str, canonical: Column, *, least_bucket: int = LEAST_BUCKET, label: str = "copies") -> DataFrame:
+def formatting_copies(df: DataFrame, id_col: str, canonical: Column, *, least_bucket: int = MOST_IN_BUCKET, label: str = "copies") -> DataFrame:
     """One row per record with a canonical text: ``first`` (the least id with that text) and ``id``.
 
     Records whose canonical text or id is null take no part. Ids repeated with the
@@ -118,30 +127,33 @@ def formatting_copies(df: DataFrame, id_col: str, canonical: Column, *, least_bu
     scratch = Scratch(spark, label)
     rows = scratch.save(df.select(F.col(id_col).cast("long").alias("id"), canonical.alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull()))
     state = [F.count(F.lit(1)).alias("n"), F.min("text").alias("lo"), F.max("text").alias("hi"), F.min("id").alias("first")]
-    whole = rows.agg(*state).first()
-    fits = max(least_bucket, whole.n // BUCKETS)
-    bucketed = rows.withColumn("bucket", F.lit(""))
-    too_big = [("", *whole)] if whole.n > fits else []
-    hot: list[tuple[str, int]] = []
-    while too_big:
-        hot += [(lo, first) for _, _, lo, hi, first in too_big if lo == hi]
-        split = [(b, _common(lo, hi) + STRIDE) for b, _, lo, hi, _ in too_big if lo != hi]
-        if not split:
+    whole = rows.agg(*state, _common(F.min("text"), F.max("text")).alias("common")).first()
+    if whole.n > least_bucket and whole.lo == whole.hi:
+        return rows.select(F.lit(whole['first']).alias("first"), "id")
+    # All rows begin as one bucket; every text of a split bucket is cut after its bucket's common prefix.
+    active = rows.select("id", "text", F.substring("text", 1, whole.common + STRIDE if whole.n > least_bucket else 0).alias("bucket"))
+    settled, hot = [], []
+    while whole.n > least_bucket:
+        big = scratch.save(active.groupBy("bucket").agg(*state).where(F.col("n") > least_bucket).select("bucket", "first", (F.col("lo") == F.col("hi")).alias("one_text"), (_common(F.col("lo"), F.col("hi")) + STRIDE).alias("upto")))
+        n_big = big.count()
+        if not n_big:
+            settled.append(active)
             break
-        # At most BUCKETS rows: each stands for more than 1/BUCKETS of all.
-        lengths = F.broadcast(spark.createDataFrame(split, "bucket string, upto int"))
-        bucketed = bucketed.join(lengths, "bucket", "left").select("id", "text", F.when(F.col("upto").isNull(), F.col("bucket")).otherwise(F.substring("text", F.lit(1), F.col("upto"))).alias("bucket"), F.col("upto").isNotNull().alias("new"))
-        sizes = bucketed.where("new").groupBy("bucket").agg(*state).where(F.col("n") > fits)
-        too_big = [tuple(r) for r in sizes.collect()]
-        bucketed = bucketed.drop("new")
-    parts = max(1, -(-whole.n // fits))
-    if hot:
-        known = F.broadcast(spark.createDataFrame(hot, "text string, first long"))
-        of_hot = bucketed.join(known, "text").select("first", "id")
-        bucketed = bucketed.join(known, "text", "left_anti")
-    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = bucketed.select("bucket", "id", "text").repartition(parts, "bucket").mapInArrow(_count, "first long, id long")
-    return counted.unionByName(of_hot) if hot else counted
+        sent = F.broadcast(big) if n_big <= MOST_SENT else big
+        level = scratch.save(active.join(sent, "bucket", "left").select("id", "text", "first", "one_text", F.when(F.col("upto").isNull() | F.col("one_text"), F.col("bucket")).otherwise(F.substring("text", F.lit(1), F.col("upto"))).alias("bucket")))
+        settled.append(level.where("one_text IS NULL").select("id", "text", "bucket"))
+        hot.append(level.where("one_text").select("first", "id"))
+        active = level.where("NOT one_text").select("id", "text", "bucket")
+    settled = settled or [active]
+    small = settled[0]
+    for part in settled[1:]:
+        small = small.unionByName(part)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole.n // (8 * least_bucket)))
+    combined = small.select("bucket", "text", "id").mapInArrow(_combined, "bucket string, text string, ids array<long>")
+    counted = combined.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "first long, id long")
+    for part in hot:
+        counted = counted.unionByName(part)
+    return counted
 
 
 def page_counts(df: DataFrame, id_col: str, url_col: str, **options) -> DataFrame:
