@@ -9,7 +9,7 @@ the masked characters are put back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Placeholders: a full stop, a dot of an ellipsis, an ellipsis sign, a question mark; and the mark between sentences.
@@ -88,6 +88,23 @@ def restored(x: Column) -> Column:
 _EDGE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 
+#: Pieces whose offsets are summed in one go; bounds what a long text costs.
+GROUP = 64
+
+
+def _running(numbers: Column, start: Column) -> Column:
+    """For each number, ``start`` plus the sum of those before it."""
+    begin = F.struct(F.array().cast("array<int>").alias("at"), start.cast("int").alias("end"))
+    return F.aggregate(numbers, begin, lambda s, n: F.struct(F.concat(s["at"], F.array(s["end"])).alias("at"), (s["end"] + n).alias("end")), lambda s: s["at"])
+
+
+def starts_of(sizes: Column) -> Column:
+    """Where each of the pieces of these sizes begins, when they stand one after the other; by groups, so that long arrays stay cheap."""
+    groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(sizes) / F.lit(GROUP)).cast("int") - 1), lambda g: F.slice(sizes, g * GROUP + 1, F.lit(GROUP)))
+    total = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda s, n: s + n))
+    return F.flatten(F.transform(F.arrays_zip(groups.alias("g"), _running(total, F.lit(0)).alias("s")), lambda x: _running(x["g"], x["s"])))
+
+
 def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per sentence: ``id``, ``sentence_no`` (from 1), ``start_pos``, ``end_pos``, ``sentence``.
 
@@ -99,15 +116,22 @@ def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ``sentence``; their offsets are true.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    # Names each row through the one shuffle below; the text itself stays where it is read.
-    pieces = rows.withColumn("row", F.monotonically_increasing_id()).select("id", "row", F.posexplode(F.split(_marked(masked(F.col("t"))), MARK, -1)).alias("n", "piece"))
-    cut = pieces.select("id", "row", "n", F.length("piece").alias("size"), (F.length("piece") - F.length(F.ltrim("piece", F.lit(_EDGE)))).alias("lead"), F.trim("piece", F.lit(_EDGE)).alias("body"))
-    order = Window.partitionBy("row").orderBy("n")
-    placed = cut.withColumn("at", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).where("body <> ''")
-    return placed.select(
+    # Marks take no room in the text: a piece begins where those before it end, which each row sums up for itself.
+    pieces = rows.select("id", F.split(_marked(masked(F.col("t"))), MARK, -1).alias("pieces"))
+    # The sizes stand in a column of their own: inside the groups' lambda they would be made anew for every group.
+    sized = pieces.select("id", "pieces", F.transform("pieces", lambda p: F.length(p)).alias("sizes"))
+    placed = sized.select("id", "pieces", starts_of(F.col("sizes")).alias("start"))
+    cut = F.transform(
+        F.arrays_zip("pieces", "start"),
+        lambda x: F.struct(
+            (x["start"] + F.length(x["pieces"]) - F.length(F.ltrim(x["pieces"], F.lit(_EDGE)))).alias("start_pos"), F.trim(x["pieces"], F.lit(_EDGE)).alias("body")
+        ),
+    )
+    found = placed.select("id", F.posexplode(F.filter(cut, lambda x: x["body"] != "")).alias("n", "s"))
+    return found.select(
         "id",
-        F.row_number().over(order).alias("sentence_no"),
-        (F.col("at") + F.col("lead")).cast("int").alias("start_pos"),
-        (F.col("at") + F.col("lead") + F.length("body")).cast("int").alias("end_pos"),
-        restored(F.col("body")).alias("sentence"),
+        (F.col("n") + 1).alias("sentence_no"),
+        F.col("s.start_pos").alias("start_pos"),
+        (F.col("s.start_pos") + F.length("s.body")).alias("end_pos"),
+        restored(F.col("s.body")).alias("sentence"),
     )
