@@ -41,7 +41,9 @@ KNOWN, UNKNOWN = 4.0, 1.5
 OTHER_SCRIPT = -1.5
 #: Words remembered with their scores, per Python worker.
 MEMO = 400_000
-#: Texts labelled at once.
+#: Words, padding included, that go through the search together; bounds its memory, whatever the texts' lengths.
+PADDED_WORDS = 50_000
+#: Texts of a batch labelled together.
 AT_ONCE = 1024
 
 #: Frequent words, so that no language is without any where labelled rows are few (fixed values).
@@ -230,6 +232,17 @@ def viterbi(scores: np.ndarray, breaks: np.ndarray, lengths: np.ndarray) -> np.n
     return path
 
 
+def _groups(order: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """``order``, by rising length, in groups of texts whose padded words stay within PADDED_WORDS; one text at least."""
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * lengths[order[hi]] <= PADDED_WORDS:
+            hi += 1
+        yield order[lo:hi]
+        lo = hi
+
+
 def _passages(texts: list[str], model: Model) -> tuple[list, ...]:
     """Lists of text, number, passages of the text, start, end, language and confidence of every passage."""
     words_of, breaks_of, sentence_of, spans_of = [], [], [], []
@@ -252,8 +265,7 @@ def _passages(texts: list[str], model: Model) -> tuple[list, ...]:
     order = np.argsort(lengths, kind="stable")
     order = order[lengths[order] > 0]
     out: list[list] = [[] for _ in texts]
-    for lo in range(0, len(order), 256):
-        group = order[lo : lo + 256]
+    for group in _groups(order, lengths):
         t = int(lengths[group].max())
         rows = np.zeros((len(group), t), dtype=np.int64)
         sent = np.full((len(group), t), -1, dtype=np.int64)
