@@ -100,8 +100,10 @@ LEAST_EDIT = 5
 LONGEST_WORD, MOST_WORDS = 40, 16
 #: Difference in how often two words lead a name that tells the given name from the family name; below it a name is matched both ways.
 CLEAR_ORDER = 3
-#: From so many distinct spellings on, a given name is taken as one in its own right.
+#: From so many distinct spellings on, a given name is taken as one in its own right,
 WELL_KNOWN = 5
+#: unless one a letter away leads so many times as many spellings: then it is that name mistyped, however many rows there are.
+MISTYPED = 10
 
 _FORMAL_OF: dict[str, set[str]] = {}
 for _formal, _short in NICKNAMES.items():
@@ -176,7 +178,7 @@ def profile(spelling: str) -> dict | None:
         short = [f"{t} {''.join(c[0] for j, c in enumerate(content) if j != i)}" for i, t in enumerate(content) if len(t) >= LEAST_EDIT and t not in LEGAL]
         return {"kind": "O", "tokens": rest, "initials": [], "nicks": short, "part": " ".join(sorted(set(legal))), "comma": False, "given": None}
     told = [i for i, t in enumerate(tokens) if t in NICKNAMES or t in _FORMAL_OF]
-    return {"kind": "P", "tokens": tokens, "initials": initials, "nicks": nicks[:4], "part": "", "comma": comma, "given": told[0] if len(told) == 1 else None}
+    return {"kind": "P", "tokens": tokens, "initials": initials, "nicks": sorted(set(nicks)), "part": "", "comma": comma, "given": told[0] if len(told) == 1 else None}
 
 
 _PROFILE = pa.schema([("id", pa.int64()), ("kind", pa.string()), ("tokens", pa.list_(pa.string())), ("initials", pa.list_(pa.string())), ("nicks", pa.list_(pa.string())), ("part", pa.string()), ("comma", pa.bool_()), ("given", pa.int32())])
@@ -279,12 +281,27 @@ def _uses(pairs: DataFrame) -> DataFrame:
     return uses.groupBy("u.token").agg(F.sum("u.g").alias("lead"), F.sum(F.when(F.col("u.g") > 0, 1).otherwise(0)).alias("n_given"))
 
 
-def given_names(df: DataFrame, name_col: str, most: int = 2000) -> list[str]:
-    """The given names of a column of names, told by their use: at most ``most``, the most frequent among different spellings."""
+def _well_known(uses: DataFrame) -> DataFrame:
+    """``uses`` with ``well_known``: given names in their own right, by their own count and that of the names one edit away."""
+    longer = uses.where((F.col("n_given") > 0) & (F.length("token") >= LEAST_EDIT))
+    cut = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.length("token"))))
+    forms = longer.select("token", "n_given", F.explode(F.array_distinct(F.concat(F.array("token"), cut))).alias("form"))
+    top = forms.groupBy("form").agg(F.max("n_given").alias("top"))
+    near = forms.join(top, "form").groupBy("token").agg(F.max("top").alias("top"))
+    known = (F.col("n_given") >= WELL_KNOWN) & (F.coalesce("top", F.lit(0)) < F.col("n_given") * MISTYPED)
+    return uses.join(near, "token", "left").select("token", "lead", "n_given", known.alias("well_known"))
+
+
+def given_names(df: DataFrame, name_col: str, most: int = 200_000) -> list[str]:
+    """The given names of a column of names, told by their use: those of the most frequent among different spellings.
+
+    ``most`` bounds what reaches the driver; it is a documented bound of the gazetteer,
+    beyond which names are proposed by their context only.
+    """
     spellings = df.select(F.col(name_col).cast("string").alias("spelling")).where(F.trim("spelling") != "").distinct()
     people = spellings.select(F.lit(0).cast("long").alias("id"), "spelling").mapInArrow(_profiles, _PROFILE_DDL).where("kind = 'P' AND size(tokens) = 2")
     uses = _uses(people.select(F.when(F.col("comma"), F.reverse("tokens")).otherwise(F.col("tokens")).alias("t")))
-    found = uses.where((F.col("lead") >= CLEAR_ORDER) & (F.col("n_given") >= WELL_KNOWN) & (F.length("token") > 2)).orderBy(F.desc("n_given"), "token").limit(most)
+    found = _well_known(uses).where((F.col("lead") >= CLEAR_ORDER) & F.col("well_known") & (F.length("token") > 2)).orderBy(F.desc("n_given"), "token").limit(most)
     return [r.token for r in found.collect()]
 
 
@@ -294,13 +311,13 @@ def _lines(parsed: DataFrame) -> DataFrame:
     sorted_out = F.col("comma") | F.col("given").isNotNull()
     given_first = F.when(F.col("given") == 1, F.reverse("tokens")).when(F.col("given") == 0, F.col("tokens")).when(F.col("comma"), F.reverse("tokens")).otherwise(F.col("tokens"))
     pairs = people.where(F.size("tokens") == 2).select("id", given_first.alias("t"), sorted_out.alias("sure"), "nicks")
-    uses = _uses(pairs)
-    at = lambda i: uses.select(F.col("token").alias(f"t{i}"), F.col("lead").alias(f"lead{i}"), F.col("n_given").alias(f"n{i}"))
+    uses = _well_known(_uses(pairs))
+    at = lambda i: uses.select(F.col("token").alias(f"t{i}"), F.col("lead").alias(f"lead{i}"), F.col("well_known").alias(f"n{i}"))
     told = pairs.select("id", "sure", "nicks", F.col("t")[0].alias("t0"), F.col("t")[1].alias("t1")).join(at(0), "t0").join(at(1), "t1")
     swap = ~F.col("sure") & (F.col("lead1") > F.col("lead0"))
     clear = F.col("sure") | (F.abs(F.col("lead0") - F.col("lead1")) >= CLEAR_ORDER)
     base, given = F.when(swap, F.col("t0")).otherwise(F.col("t1")), F.when(swap, F.col("t1")).otherwise(F.col("t0"))
-    well = F.when(swap, F.col("n1")).otherwise(F.col("n0")) >= F.lit(WELL_KNOWN)
+    well = F.when(swap, F.col("n1")).otherwise(F.col("n0"))
     full = told.select("id", base.alias("base"), given.alias("part"), well.alias("well_known"), "nicks", F.when(clear, "full").otherwise("maybe").alias("form"))
     other = told.where(~clear).select("id", given.alias("base"), base.alias("part"), F.lit(False).alias("well_known"), "nicks", F.lit("maybe").alias("form"))
     nick = full.select("id", "base", F.explode("nicks").alias("part"), F.lit(False).alias("well_known"), "form").where("part rlike '^[^ ]{2,}$'")
@@ -326,7 +343,9 @@ def _keys_of_profiles(lines: DataFrame, entities: DataFrame) -> DataFrame:
     )
     joined = full.join(several.where("b0 <> b1 AND p0 <> p1"), "entity")
     richer = joined.select("entity", "kind", F.col("ub").alias("base"), "part", "form", "well_known").unionByName(joined.select("entity", "kind", "base", F.col("up.part").alias("part"), "form", F.col("up.well_known").alias("well_known")))
-    return rows.unionByName(richer).distinct().select("entity", "kind", "base", "part", "form", "well_known").mapInArrow(_key_rows, "key long, role byte, known long, entity long")
+    # A number of partitions of its own: the lines are few bytes but make many keys, so they must not end up in one task.
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.unionByName(richer).repartition(parts, "entity").distinct().select("entity", "kind", "base", "part", "form", "well_known").mapInArrow(_key_rows, "key long, role byte, known long, entity long")
 
 
 def _ties(keyed: DataFrame) -> DataFrame:
