@@ -67,7 +67,7 @@ _SEP = r"(?:[ .\-/]|\s/\s|\)\s?)"
 _NUMBER = re.compile(
     rf"(?<![\w@.+/-])(?:\+\s?|\()?\d{{1,11}}(?:{_SEP}\(?\d{{1,11}})*(?:\s?(?i:ext\.?|extension|x|durchwahl|dw\.?|poste|toestel|tst\.?|ramal|int\.?)\s?\d{{1,5}})?(?:-?[A-Z](?![\w@]))?(?![\w@])|(?<![\w@])[A-Za-z]{{1,3}}-?\d{{5,9}}(?![\w@])"
 )
-_QUICK_NUMBER = re.compile(r"\d[\d ().\-/]{4,}\d|[A-Za-z]\d{5}")
+_QUICK_NUMBER = re.compile(r"\d[\d ().\-/]{4,}\d|[A-Za-z]-?\d{5}")
 _DATE = re.compile(r"^(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})$")
 _PHONE_SHAPE = re.compile(r"^(?:\+|00\d)|^\(\d{2,4}\)|^\d{3}[ .-]\d{3}[ .-]\d{4}(?:\D|$)|^\d{3}-\d{4}(?:\D|$)|(?:ext|x|durchwahl|poste|toestel|ramal)\.?\s?\d+$", re.I)
 _ID_SHAPE = re.compile(r"^[A-Za-z]{1,3}[ -]?\d{5,9}$|^\d{3}[- ]?\d{2}[- ]\d{4}$|^\d{6}-\d{4}$|^\d{2} \d{3} \d{3} \d{3}$|^\d{9}$|^\d{11}$|^\d{7,9}-?[A-Z]$")
@@ -102,7 +102,7 @@ def _automaton(given: set[str]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for w in given:
         found.add_word(f" {w} ", ("given", len(w)))
-    for w in (*_STREET, *_STREET_BEFORE, "postfach", "postbus", "apartado", "box", "postale", "postal"):
+    for w in (*_STREET, *_STREET_BEFORE, "postfach", "postbus", "apartado", "box", "postale", "postal", "bp", "b p"):
         found.add_word(f" {w} ", ("street", len(w)))
     for w in _STREET_END:
         found.add_word(f"{w} ", ("street", len(w)))
@@ -141,7 +141,10 @@ def _names(text: str, hits: list[tuple[str, int, int]]) -> Iterator[tuple[int, i
 def proposals(text: str, gazetteer: Gazetteer) -> list[tuple[str, int, int]]:
     """(family, start, end) of all proposed spans, none overlapping another."""
     low = text.lower()
-    flat = " " + (low if len(low) == len(text) else text).translate(_FLAT) + " "
+    if len(low) != len(text):
+        # Letters whose small form is longer stay as they are, so places stay true.
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    flat = " " + low.translate(_FLAT) + " "
     hits = []
     street = False
     for last, (kind, length) in gazetteer.words.iter(flat):
@@ -324,13 +327,16 @@ def spans(df: DataFrame, text_col: str, *keep: str, given: Iterable[str] = ()) -
     return rows.mapInArrow(_proposer(frozenset(given)), kept + _SPANS)
 
 
-def fit(proposed: DataFrame) -> dict[str, np.ndarray]:
-    """The final classifier of each family. The driver gets counts of vote patterns and at most TRAIN_SPANS spans."""
+def fit(proposed: DataFrame, *keep: str) -> dict[str, np.ndarray]:
+    """The final classifier of each family. The driver gets counts of vote patterns and at most TRAIN_SPANS spans.
+
+    Spans are picked by a hash of their row's ``keep`` and their place in it, so equal spans of one template do not enter together.
+    """
     patterns: dict[str, dict[tuple[int, ...], int]] = {f: {} for f in CLASSES}
     for r in proposed.groupBy("family", "votes").agg(F.count(F.lit(1)).alias("n")).collect():
         patterns[r.family][tuple(r.votes)] = r.n
     truth = {f: reconcile(p, len(CLASSES[f])) for f, p in patterns.items()}
-    rows = proposed.select("family", "votes", "features", F.struct("pii_text", "start_pos").alias("place"))
+    rows = proposed.select("family", "votes", "features", F.struct(*keep, "pii_text", "start_pos").alias("place"))
     sample = hashed_sample(rows, F.col("place"), proposed.count(), TRAIN_SPANS).select("family", "votes", "features").collect()
     return {f: train([(r.features, truth[f][tuple(r.votes)]) for r in sample if r.family == f], len(CLASSES[f])) for f in CLASSES}
 
@@ -361,7 +367,7 @@ def personal_items(df: DataFrame, text_col: str, *keep: str, given: Iterable[str
     contain the names made here. ``given`` adds given names to the gazetteer.
     """
     proposed = Scratch(df.sparkSession, label).save(spans(df, text_col, *keep, given=given))
-    shared = df.sparkSession.sparkContext.broadcast(fit(proposed))
+    shared = df.sparkSession.sparkContext.broadcast(fit(proposed, *keep))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in proposed.schema.fields if f.name in keep)
     return proposed.mapInArrow(_decider(shared), kept + "start_pos int, end_pos int, pii_text string, pii_kind string").where("pii_kind <> ''")
 
@@ -373,8 +379,8 @@ def redacted(df: DataFrame, text_col: str, *keep: str, given: Iterable[str] = ()
     searched again where it is read, so no text is shuffled.
     """
     known = frozenset(given)
-    proposed = Scratch(df.sparkSession, label).save(spans(df, text_col, given=known))
-    shared = df.sparkSession.sparkContext.broadcast(fit(proposed))
+    proposed = Scratch(df.sparkSession, label).save(spans(df, text_col, *keep, given=known))
+    shared = df.sparkSession.sparkContext.broadcast(fit(proposed, *keep))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gazetteer, weights = Gazetteer(known), shared.value
