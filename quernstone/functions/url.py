@@ -120,3 +120,21 @@ def candidate_forms(url: Column) -> Column:
     forms = F.array(url, without_tracking(url), bare, slash)
     other = F.transform(forms, lambda u: F.when(u.rlike(r"(?i)^[a-z]+://www\."), F.regexp_replace(u, r"(?i)^([a-z]+://)www\.", "$1")).otherwise(F.regexp_replace(u, r"^([A-Za-z]+://)", "$1www.")))
     return F.array_distinct(F.concat(forms, other))
+
+
+def host_checked(url: Column) -> Column:
+    """As :func:`host_lookup`, without ``www.``, trimmed again after the cut; null for null."""
+    h = _without_www(_bare(url))
+    return F.when(url.isNotNull(), F.regexp_replace(F.trim(_until(h, "/?#")), r"\.+$", ""))
+
+
+def valid_hostname(host: Column) -> Column:
+    """Two or more labels of letters, digits and inner hyphens, the last of letters, at most 253 characters in all."""
+    label = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+    return F.coalesce(F.length(host).between(1, 253) & host.rlike(rf"^(?:{label}\.)+[a-z]{{2,63}}$"), F.lit(False))
+
+
+def tells_nothing(host: Column, shared: list[str], providers: list[str]) -> Column:
+    """Whether a host identifies nobody: none at all, one label, under a shared host, or a provider's own."""
+    h = F.coalesce(host, F.lit(""))
+    return ~h.contains(".") | under_any(h, shared) | h.isin(*providers)
