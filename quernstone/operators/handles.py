@@ -9,14 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.functions.social import PLATFORM_BY_LABEL
 from quernstone.functions.text import let
 
-# Platform by the leading label of a host.
-PLATFORM_BY_LABEL = {
-    "facebook": "facebook", "fb": "facebook", "instagram": "instagram", "instagr": "instagram", "twitter": "twitter", "x": "twitter", "t": "telegram", "telegram": "telegram", "telegra": "telegram",
-    "wa": "whatsapp", "whatsapp": "whatsapp", "tiktok": "tiktok", "youtube": "youtube", "youtu": "youtube", "linkedin": "linkedin", "pinterest": "pinterest", "snapchat": "snapchat",
-    "discord": "discord", "reddit": "reddit", "github": "github", "medium": "medium", "vimeo": "vimeo", "mastodon": "mastodon", "threads": "threads", "bsky": "bluesky",
-}
 # The host under which a platform's profiles are written.
 CANONICAL_HOST = {
     "facebook": "facebook.com", "instagram": "instagram.com", "twitter": "twitter.com", "telegram": "t.me", "whatsapp": "wa.me", "tiktok": "tiktok.com", "youtube": "youtube.com",

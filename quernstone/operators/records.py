@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.skew import hot_aware_join
+
 
 def best_per_key(df: DataFrame, key: Column, *order: Column) -> DataFrame:
     """The first row of every key in ``order``, as an aggregate that combines inside each partition.
@@ -71,10 +73,12 @@ def siblings(members: DataFrame, group: str, item: str, most: int) -> DataFrame:
     rows = members.select(group, item).where(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct()
     # One group's leaders are its smallest items; each task keeps only those it may need.
     order = Window.partitionBy(group).orderBy(item)
-    leaders = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most + 1).select(group, F.col(item).alias("sibling"), "r")
-    met = rows.join(leaders, group).where(F.col(item) != F.col("sibling"))
-    place = F.row_number().over(Window.partitionBy(group, item).orderBy("r"))
-    return met.withColumn("place", place).where(F.col("place") <= most).select(group, item, "sibling", "place")
+    leaders = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most + 1)
+    lists = leaders.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("__leaders"))
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
+    met = hot_aware_join(rows, lists, group, counts, rows.count())
+    others = F.slice(F.filter("__leaders", lambda x: x != F.col(item)), 1, most)
+    return met.select(group, item, F.posexplode(others).alias("place", "sibling")).select(group, item, "sibling", (F.col("place") + 1).alias("place"))
 
 
 def top_and_other(df: DataFrame, key: str, most: int, other: str = "Other") -> DataFrame:
@@ -100,11 +104,15 @@ def stratified_sample(df: DataFrame, stratum: str, item: str, n: int, seed: int)
     missing = F.when(total <= n, F.lit(0)).otherwise(F.lit(n) - planned.select(F.sum("take")).scalar())
     largest = planned.select(F.max_by(F.coalesce(F.col("__s").cast("string"), F.lit("")), F.struct(F.col("size"), F.coalesce(F.col("__s").cast("string"), F.lit(""))))).scalar()
     planned = planned.withColumn("take", F.col("take") + F.when(F.coalesce(F.col("__s").cast("string"), F.lit("")) == largest, missing).otherwise(F.lit(0)))
-    # Only items under a stratum's quota can be taken; ranks are needed within strata alone.
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string"))), 1, 15), 16, 10).cast("long")
-    order = Window.partitionBy(stratum).orderBy("draw", item)
-    placed = rows.withColumn("draw", draw).withColumn("r", F.row_number().over(order))
-    return placed.join(F.broadcast(planned), F.col(stratum).eqNullSafe(F.col("__s"))).where(F.col("r") <= F.col("take")).select(stratum, item)
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string"))), 1, 15)
+    drawn = rows.withColumn("draw", F.conv(digits, 16, 10).cast("long")).withColumn("__part", F.conv(F.substring(digits, 1, 3), 16, 10).cast("int"))
+    # Counts over 4,096 ranges of the draw tell the range in which a stratum's quota ends; items beyond it are never ranked.
+    running = F.sum("n").over(Window.partitionBy(stratum).orderBy("__part"))
+    ranges = drawn.groupBy(stratum, "__part").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", running).join(F.broadcast(planned), F.col(stratum).eqNullSafe(F.col("__s")))
+    ends = ranges.groupBy("__s", "take").agg(F.min(F.when(F.col("upto") >= F.col("take"), F.col("__part"))).alias("__end"))
+    near = drawn.join(F.broadcast(ends), F.col(stratum).eqNullSafe(F.col("__s"))).where((F.col("take") > 0) & (F.col("__end").isNull() | (F.col("__part") <= F.col("__end"))))
+    placed = near.withColumn("r", F.row_number().over(Window.partitionBy(stratum).orderBy("draw", item)))
+    return placed.where(F.col("r") <= F.col("take")).select(stratum, item)
 
 
 def balanced_assignment(items: DataFrame, item: str, workers: Sequence[str], per_item: int, seed: int) -> DataFrame:
@@ -117,9 +125,13 @@ def balanced_assignment(items: DataFrame, item: str, workers: Sequence[str], per
     teams = list(combinations(workers, per_item))
     table = F.array(*[F.array(*[F.lit(w) for w in team]) for team in teams])
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")))
-    # One global number per item of a review pool, which people work through, is small by nature.
-    numbered = items.select(item).distinct().withColumn("place", F.row_number().over(Window.orderBy(draw, item)) - 1)
-    return numbered.select(item, F.explode(F.element_at(table, (F.col("place") % len(teams) + 1).cast("int"))).alias("worker"))
+    drawn = items.select(item).distinct().withColumn("draw", draw).withColumn("__part", F.substring("draw", 1, 3))
+    # Numbered within 4,096 ranges of the hash, after the items of the ranges before: no task numbers all items.
+    sizes = drawn.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))
+    numbered = drawn.withColumn("r", F.row_number().over(Window.partitionBy("__part").orderBy("draw", item))).join(F.broadcast(before), "__part")
+    place = F.col("before") + F.col("r") - 1
+    return numbered.select(item, F.explode(F.element_at(table, (place % len(teams) + 1).cast("int"))).alias("worker"))
 
 
 def changes(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
@@ -133,3 +145,50 @@ def completeness(df: DataFrame) -> DataFrame:
     counts = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("n_present"), F.col("__n").alias("n_rows")) for c in df.columns])
     return counts.select(F.inline(pairs))
+
+
+def nested_record(base: DataFrame, key: str, parts: dict[str, DataFrame]) -> DataFrame:
+    """``base`` with an array of structs for each of ``parts``: the part's rows of the key, in the order of their columns; empty where it has none.
+
+    Each part is gathered by its key before it is joined, so parts never multiply one
+    another. A key's rows come together in one record, which is the feature.
+    """
+    out = base
+    for name, part in parts.items():
+        held = F.struct(*[F.col(c) for c in part.columns if c != key])
+        gathered = part.groupBy(key).agg(F.sort_array(F.collect_list(held)).alias(name))
+        empty = F.array().cast(gathered.schema[name].dataType)
+        out = out.join(gathered, key, "left").withColumn(name, F.coalesce(F.col(name), empty))
+    return out
+
+
+def verdict_totals(named: DataFrame, item: str, value: str, worst: DataFrame, excluded: Column) -> DataFrame:
+    """Per item: its values (``n_domains``), those with hits (``n_bad``), those of them not ``excluded`` (``n_bad_kept``), ``most_hits``. ``worst`` has a row per value."""
+    bad = F.coalesce(F.col("hits") >= 1, F.lit(False))
+    return named.join(worst, value, "left").groupBy(item).agg(
+        F.count(F.lit(1)).alias("n_domains"), F.count_if(bad).alias("n_bad"), F.count_if(bad & ~excluded).alias("n_bad_kept"), F.max("hits").alias("most_hits")
+    )
+
+
+def rewritten(df: DataFrame, column: str, change: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with ``column`` changed and its first state kept in ``column_raw``, which later changes leave alone; :func:`restored` brings it back."""
+    backup = f"{column}_raw"
+    first = F.coalesce(F.col(backup), F.col(column)) if backup in df.columns else F.col(column)
+    return df.withColumn(backup, first).withColumn(column, change(F.col(column)))
+
+
+def restored(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` as it was before the first :func:`rewritten`, and no backup."""
+    backup = f"{column}_raw"
+    return df.withColumn(column, F.coalesce(F.col(backup), F.col(column))).drop(backup) if backup in df.columns else df
+
+
+def hot_side_join(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with a ``lookup`` unique on ``key``; rows without a key, or with one that ``lookup`` lacks, keep nulls.
+
+    The keys of many rows are joined without moving their rows.
+    """
+    keyed = rows.where(F.col(key).isNotNull())
+    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    found = hot_aware_join(keyed, counts.select(key).join(lookup, key, "left"), key, counts, keyed.count())
+    return found.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)

@@ -59,24 +59,12 @@ def organization_hints(spark: SparkSession, root: str) -> DataFrame:
     return names.groupBy(S.organization_hint(F.col("n")).alias("hint")).agg(F.count(F.lit(1)).alias("n_names"))
 
 
-@query(
-    r"""
-    WITH h AS (SELECT trim(unnest(social_handles)) AS t FROM contacts)
-    SELECT CASE WHEN regexp_matches(t, '^@[A-Za-z0-9._-]{2,60}$') THEN 'unknown' END AS platform, CASE WHEN regexp_matches(t, '^@[A-Za-z0-9._-]{2,60}$') THEN lower(substr(t, 2, 60)) END AS user_id, count(*) AS n_rows
-    FROM h WHERE t IS NOT NULL AND NOT contains(t, '/') GROUP BY ALL
-    """
-)
-def social_handles(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "contacts", "social_handles").select(F.explode("social_handles").alias("t")).where("t IS NOT NULL AND NOT contains(t, '/')")
-    return rows.select(S.social_handle(F.col("t")).alias("h")).groupBy("h.platform", "h.user_id").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
 @query(
     f"""
     WITH u AS (SELECT url FROM campaigns UNION ALL SELECT unnest(urls) FROM contacts), h AS (SELECT url, {sql_of(HOST, "url")} AS host FROM u)
     SELECT CASE WHEN host = '' THEN NULL WHEN host IN (SELECT host FROM platforms) THEN 'own' WHEN regexp_matches(url, '{S.DOCUMENT}') THEN 'document'
       WHEN regexp_matches(url, '^(?i)(?:https?://)?(?:www\\.)?(?:youtube\\.com|youtu\\.be|vimeo\\.com)/') THEN 'video'
-      WHEN split_part(host, '.', 1) IN ({", ".join(repr(k) for k in S.SOCIAL)}) THEN 'social' ELSE 'external' END AS kind, count(*) AS n_rows
+      WHEN split_part(host, '.', 1) IN ({", ".join(repr(k) for k in S.PLATFORM_BY_LABEL)}) THEN 'social' ELSE 'external' END AS kind, count(*) AS n_rows
     FROM h GROUP BY 1
     """
 )
@@ -99,20 +87,6 @@ def phones_international(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("phone", S.international(F.col("phone"), F.lit("1")).alias("e164"), "n_rows")
 
 
-@query(
-    r"""
-    WITH w AS (SELECT ingest_seq, 'US$' || raised_amount || ' raised of $' || goal_amount || ' goal, ' || coalesce(donors_count, 0) || ' Donors' AS t FROM campaigns WHERE raised_amount IS NOT NULL AND goal_amount IS NOT NULL)
-    SELECT ingest_seq, try_cast(nullif(replace(regexp_extract(t, '(?i)(?:US)?[$€£]\s*([\d,]+(?:\.\d+)?)\s+raised\s+(?:of|toward)\s+(?:US)?[$€£]?\s*([\d,]+(?:\.\d+)?)\s+goal', 2), ',', ''), '') AS DOUBLE) AS goal,
-      try_cast(nullif(replace(regexp_extract(t, '(?i)(?:US)?[$€£]\s*([\d,]+(?:\.\d+)?)\s+raised\s+(?:of|toward)\s+(?:US)?[$€£]?\s*([\d,]+(?:\.\d+)?)\s+goal', 1), ',', ''), '') AS DOUBLE) AS raised,
-      try_cast(nullif(regexp_extract(t, '(?i)\b(\d{1,5})\s+donors?\b', 1), '') AS INT) AS donors FROM w
-    """
-)
-def widget_amounts(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "campaigns", "ingest_seq", "raised_amount", "goal_amount", "donors_count").where("raised_amount IS NOT NULL AND goal_amount IS NOT NULL")
-    text = F.concat(F.lit("US$"), "raised_amount", F.lit(" raised of $"), "goal_amount", F.lit(" goal, "), F.coalesce("donors_count", F.lit(0)).cast("string"), F.lit(" Donors"))
-    return rows.select("ingest_seq", S.widget_amounts(text).alias("w")).select("ingest_seq", "w.goal", "w.raised", "w.donors")
-
-
 @query()
 def nearest_cues(spark: SparkSession, root: str) -> DataFrame:
     """Which word stands closest to every number of four or more digits; tested against brute force on a fixture."""

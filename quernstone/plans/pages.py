@@ -178,17 +178,17 @@ def known_contacts(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     """
-    WITH old AS (SELECT url, arg_max(title, ingest_seq) AS title, arg_max(location, ingest_seq) AS location FROM campaigns WHERE ingest_seq % 2 = 0 AND url IS NOT NULL AND title IS NOT NULL AND location IS NOT NULL GROUP BY url),
-    new AS (SELECT url, arg_max(title, ingest_seq) AS title, arg_max(organizer, ingest_seq) AS organizer FROM campaigns WHERE ingest_seq % 2 = 1 AND url IS NOT NULL AND title IS NOT NULL AND organizer IS NOT NULL GROUP BY url)
+    WITH old AS (SELECT url, arg_max_null(title, ingest_seq) AS title, arg_max_null(location, ingest_seq) AS location FROM campaigns WHERE ingest_seq % 2 = 0 AND url IS NOT NULL GROUP BY url),
+    new AS (SELECT url, arg_max_null(title, ingest_seq) AS title, arg_max_null(organizer, ingest_seq) AS organizer FROM campaigns WHERE ingest_seq % 2 = 1 AND url IS NOT NULL GROUP BY url)
     SELECT coalesce(n.url, o.url) AS url, coalesce(n.title, o.title) AS title, o.location, n.organizer FROM old o FULL JOIN new n ON o.url = n.url
     """
 )
 def merge_upsert(spark: SparkSession, root: str) -> DataFrame:
     # The two loads to merge are told apart by the parity of their sequence number; all rows take part.
-    rows = table(spark, root, "campaigns", "url", "title", "location", "organizer", "ingest_seq").where("url IS NOT NULL AND title IS NOT NULL")
+    rows = table(spark, root, "campaigns", "url", "title", "location", "organizer", "ingest_seq").where("url IS NOT NULL")
     last = lambda df, *c: df.groupBy("url").agg(*[F.max_by(x, "ingest_seq").alias(x) for x in c])
-    stored = last(rows.where("ingest_seq % 2 = 0 AND location IS NOT NULL"), "title", "location")
-    incoming = last(rows.where("ingest_seq % 2 = 1 AND organizer IS NOT NULL"), "title", "organizer")
+    stored = last(rows.where("ingest_seq % 2 = 0"), "title", "location")
+    incoming = last(rows.where("ingest_seq % 2 = 1"), "title", "organizer")
     return R.merged(stored, incoming, "url")
 
 

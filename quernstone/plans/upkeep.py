@@ -77,13 +77,15 @@ def usd_summary(spark: SparkSession, root: str) -> DataFrame:
 @query(
     """
     SELECT url, CAST(i AS INT) AS place, e AS email, p AS phone FROM (
-      SELECT url, unnest(range(greatest(coalesce(len(emails), 0), coalesce(len(phones), 0)))) AS i, emails, phones FROM contacts WHERE url IS NOT NULL AND emails IS NOT NULL AND phones IS NOT NULL
+      SELECT url, unnest(range(greatest(coalesce(len(emails), 0), coalesce(len(phones), 0)))) AS i, emails, phones FROM contacts WHERE url IS NOT NULL
     ) x, LATERAL (SELECT emails[i + 1] AS e, phones[i + 1] AS p) y
     """
 )
 def zipped_arrays(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "contacts", "url", "emails", "phones").where("url IS NOT NULL AND emails IS NOT NULL AND phones IS NOT NULL")
-    return rows.select("url", F.posexplode(F.arrays_zip("emails", "phones")).alias("place", "z")).select("url", "place", F.col("z.emails").alias("email"), F.col("z.phones").alias("phone"))
+    rows = table(spark, root, "contacts", "url", "emails", "phones").where("url IS NOT NULL")
+    # A null list is as an empty one: the other side is padded with nulls.
+    side = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    return rows.select("url", side("emails"), side("phones")).select("url", F.posexplode(F.arrays_zip("emails", "phones")).alias("place", "z")).select("url", "place", F.col("z.emails").alias("email"), F.col("z.phones").alias("phone"))
 
 
 @query(

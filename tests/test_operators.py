@@ -280,19 +280,21 @@ def test_checksums_and_literals(spark):
 
 
 def test_social_and_kinds(spark):
+    from quernstone.functions import markup as M
     from quernstone.functions import social as S
+    from quernstone.operators import handles as H
 
     urls = ["https://www.facebook.com/Some.One?x=1", "m.facebook.com/abc", "https://t.me/@chan", "@Bare_one", "https://linkedin.com/in/joe-d/", "https://facebook.com/", "example.com/x", None]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
-    found = [tuple(r.h) for r in df.select("i", S.social_handle(F.col("u")).alias("h")).orderBy("i").collect()]
-    assert found == [("facebook", "some.one"), ("facebook", "abc"), ("telegram", "chan"), ("unknown", "bare_one"), ("linkedin", "joe-d"), (None, None), (None, None), (None, None)]
+    found = [(r.platform, r.user_id) for r in H.parsed_handles(df, "u").orderBy("i").collect()]
+    assert found == [("facebook", "Some.One"), ("unknown", "abc"), ("telegram", "chan"), ("unknown", "Bare_one"), ("linkedin", "in/joe-d"), (None, None), (None, None), (None, None)]
     kinds = [r.k for r in df.select("i", S.url_kind(F.col("u"), ["example.com"]).alias("k")).orderBy("i").collect()]
     assert kinds[0] == "social" and kinds[6] == "own" and kinds[7] is None
     times = ["2023-01-02T03:04:05Z", "2023-01-02T03:04:05+01:00", "2023-01-02", "31/12/2022", "12/31/2022", "x", None]
     stamps = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t string").select("i", F.date_format(S.parsed_time(F.col("t")), "yyyy-MM-dd HH:mm").alias("s")).orderBy("i").collect()]
     assert stamps == ["2023-01-02 03:04", "2023-01-02 02:04", "2023-01-02 00:00", "2022-12-31 00:00", "2022-12-31 00:00", None, None]
-    (row,) = spark.createDataFrame([("US$1,911.00 raised of $8,000.00 goal, 18 Donors",)], "t string").select(S.widget_amounts(F.col("t")).alias("w")).select("w.*").collect()
-    assert tuple(row) == (8000.0, 1911.0, 18)
+    (row,) = spark.createDataFrame([("US$1,911.00 raised of $8,000.00 goal, 18 Donors",)], "t string").select(M.widget_amounts(F.col("t")).alias("w")).select("w.*").collect()
+    assert tuple(row) == (8000.0, 1911.0, "USD", 18)
     phones = spark.createDataFrame([("+44 20 7946 0000",), ("0044 20 7946 0000",), ("(0)555-010-0100",), ("12",)], "p string").select(S.international(F.col("p"), F.lit("1")).alias("e")).collect()
     assert [r.e for r in phones] == ["+442079460000", "+442079460000", "+15550100100", None]
 
@@ -358,3 +360,52 @@ class TestEnrichment:
         ask = lambda: enrich.resumed(df, "url", "t", path, self.SCHEMA, self.client, "size int", pauses=())
         assert [ask(), ask()] == [2, 1]
         assert files.read_jsonl(spark, path, self.SCHEMA).where("ok").count() == 1
+
+
+def test_contexts_and_snippets(spark):
+    from quernstone.functions import markup as M
+
+    df = spark.createDataFrame([(1, "ab x@y.org, x@y.org end", "END"), (2, None, "a"), (3, "", ""), (4, "none here", "zz")], "i int, t string, w string")
+    found = [[tuple(c) for c in r.c] for r in df.select("i", M.contexts(F.col("t"), M.EMAIL, 3, 2).alias("c")).orderBy("i").collect()]
+    assert found == [[("x@y.org", 4, "ab x@y.org, "), ("x@y.org", 13, "g, x@y.org e")], [], [], []]
+    assert [r.s for r in df.select("i", M.snippet(F.col("t"), F.col("w"), 4).alias("s")).orderBy("i").collect()] == ["org end", "", "", ""]
+
+
+def test_page_text(spark):
+    from quernstone.functions import markup as M
+
+    pages = ["<body><main>A <b>b</b></main></body>", "<meta property='og:description' content='Own'>", "", None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, p string")
+    assert [r.d for r in df.select("i", M.page_description(F.col("p")).alias("d")).orderBy("i").collect()] == ["A b", "Own", "", ""]
+
+
+def test_handles_of_nothing_and_repeats(spark):
+    from quernstone.operators import handles as H
+
+    df = spark.createDataFrame([(None, 1), ("@jo", 2), ("@jo", 2)], "h string, extra int")
+    assert sorted((r.extra, r.user_id, r.drop_reason) for r in H.parsed_handles(df, "h").collect()) == [(1, None, "empty"), (2, "jo", None), (2, "jo", None)]
+    assert H.parsed_handles(df.limit(0), "h").count() == 0
+    assert {r.action for r in H.reclassified_handles(H.parsed_handles(df, "h")).collect()} == {"no_change"}
+    links = H.classified_links(spark.createDataFrame([("https://m.facebook.com/jo",), ("x",), (None,)], "u string"), "u").collect()
+    assert [(r.kind, r.platform, r.user_id) for r in links] == [("social_handle", "facebook", "jo"), (None, None, None), (None, None, None)]
+
+
+def test_backup_is_made_once_and_restored(spark):
+    from quernstone.operators import records as R
+
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "i int, x string")
+    twice = R.rewritten(R.rewritten(df, "x", lambda c: F.upper(c)), "x", lambda c: F.concat(c, c))
+    assert sorted(map(tuple, twice.collect())) == [(1, "ABAB", "ab"), (2, None, None)]
+    assert sorted(map(tuple, R.restored(twice, "x").collect())) == [(1, "ab"), (2, None)]
+    assert R.restored(df, "x").columns == ["i", "x"]
+
+
+def test_nested_record_and_hot_side_join(spark):
+    from quernstone.operators import records as R
+
+    base = spark.createDataFrame([(1,), (2,)], "k int")
+    part = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (9, "z")], "k int, v string")
+    assert [(r.k, [p.v for p in r.parts]) for r in R.nested_record(base, "k", {"parts": part}).orderBy("k").collect()] == [(1, ["a", "a", "b"]), (2, [])]
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "x")], "i int, k string")
+    lookup = spark.createDataFrame([("a", 7)], "k string, n int")
+    assert sorted((r.i, r.n) for r in R.hot_side_join(rows, lookup, "k").collect()) == [(1, 7), (2, None), (3, None)]
