@@ -30,7 +30,7 @@ Equal element sets are collapsed before any of this. Keys under which more than
 in blocks, sketch against sketch, and only pairs within the bound come out.
 
 Records of few elements are joined exactly at any threshold, by prefixes in hash
-order. Beyond that the segments are larger than the pigeonhole asks for; recall is
+order; their pairs are not judged by minima. Beyond that the segments are larger than the pigeonhole asks for; recall is
 measured in the README. All candidates come from keys, none through other links.
 """
 
@@ -152,6 +152,9 @@ def element_sets(texts: list[str], run: int, min_words: int, hashes: _Words) ->
     return np.array(kept), row[first], x[first]
 
 
+_EVEN = ~np.uint64(1)
+
+
 def segments_of(band: np.ndarray) -> np.ndarray:
     """Number of segments of a band."""
     return np.maximum(2, np.floor(np.exp2(band / PER_OCTAVE) / PER_SEGMENT)).astype(np.int64)
@@ -189,11 +192,12 @@ def block_keys(row: np.ndarray, x: np.ndarray, size: np.ndarray, threshold: floa
                 kept = np.flatnonzero(count >= MIN_IN_SEGMENT)
                 at = np.searchsorted(base, kept, side="right") - 1
                 rows.append(takes[at])
-                keys.append(_mix(content[kept] + (kept - base[at]).astype(np.uint64) * _M1 + salt[at] + count[kept].astype(np.uint64) * _M3))
+                keys.append(_EVEN & _mix(content[kept] + (kept - base[at]).astype(np.uint64) * _M1 + salt[at] + count[kept].astype(np.uint64) * _M3))
     if part == 0:
         small_rows, small_keys = prefix_keys(row, x, size, threshold)
+        # Odd keys are those of the exact join of small rows, which no estimate may prune.
         rows.append(small_rows)
-        keys.append(small_keys)
+        keys.append(small_keys | np.uint64(1))
     if not rows:
         return np.array([], dtype=np.int64), np.array([], dtype=np.uint64)
     return np.concatenate(rows), np.concatenate(keys)
@@ -333,7 +337,8 @@ def _paired(threshold: float):
             for lo in range(0, len(at), step):
                 x, y = (order[(at[lo : lo + step, None] + k).ravel()] for k in (i, j))
                 agree = 64 * len(minima) - sum(np.bitwise_count(m[x] ^ m[y]).astype(np.int16) for m in minima)
-                fit = (agree >= enough) & (name[x] != name[y])
+                exact = np.repeat(key[at[lo : lo + step]] & 1 == 1, len(i))
+                fit = ((agree >= enough) | exact) & (name[x] != name[y])
                 x, y = name[x[fit]], name[y[fit]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 

@@ -292,3 +292,17 @@ def test_minima_rarely_give_up_a_pair_at_the_threshold():
         m = sketchjoin.one_bit_minima(x, np.array([0, 150]))
         kept += 128 - int(np.bitwise_count((m[0] ^ m[1]).view(np.uint64)).sum()) >= sketchjoin.least_agreement(0.5)
     assert kept >= 0.99 * 300
+
+
+def test_pairs_of_short_records_are_found_whole(spark):
+    rng = random.Random(12)
+    rows_, pairs = [], set()
+    for i in range(150):
+        n = rng.randrange(9, 31)
+        words = [f"r{i}w{k}" for k in range(n)]
+        rows_ += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+        # The last word stands in one run of five of n - 4, so similarity is (n - 5) / (n - 3).
+        if (n - 5) / (n - 3) >= 0.8:
+            pairs.add((2 * i, 2 * i + 1))
+    df = spark.createDataFrame(rows_, "id long, t string")
+    assert set(got(sketchjoin.near_duplicate_pairs(df, "id", F.col("t")))) == pairs and len(pairs) > 80
