@@ -48,7 +48,8 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """The non-null values of ``key`` holding at least ``share`` of all rows, nulls counted in the total.
 
     Partial counts are combined per partition; the total is summed from the same
-    small per-key states, so the input is scanned once. No rows give no keys.
+    small per-key states; the plan counts twice, once for the total and once for the
+    keys, and each scan reads the one column only. No rows give no keys.
     """
     counts = df.groupBy(F.col(key).alias(key)).agg(F.count(F.lit(1)).alias("n_rows"))
     # A ROLLUP would expand every row twice; summing states costs one row per key.
