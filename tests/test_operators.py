@@ -6,6 +6,7 @@ import gzip
 import json
 import random
 import zipfile
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -255,6 +256,42 @@ class TestFuzzy:
         found = {(a, b) for a, b, _ in got(fuzzy.similar_names(spark.createDataFrame([(n,) for n in [*names, None, " "]], "n string"), "n", 85.0))}
         assert found == wanted and len(wanted) > 50
 
+    def test_names_sharing_a_word_meet_by_more_than_it(self, spark):
+        import pyarrow as pa
+
+        from quernstone.functions.vectorized import indel_ratio, sorted_tokens
+        from quernstone.operators import fuzzy
+
+        rng = random.Random(5)
+        names = {"Guadalupe " + "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).title() for _ in range(400)}
+        names |= {n[:at] + n[at + 1 :] for n in list(names)[:60] for at in (11, 14)} | {" ".join(reversed(n.split())) for n in list(names)[:30]}
+        names = sorted(names)
+        wanted = {(a, b) for a, b in combinations(names, 2) if indel_ratio(sorted_tokens(a), sorted_tokens(b)) >= 90}
+        rows = got(fuzzy.similar_names(spark.createDataFrame([(n,) for n in names], "n string"), "n"))
+        assert {(a, b) for a, b, _ in rows} == wanted and len(rows) == len(wanted) > 150
+        assert all(r == indel_ratio(sorted_tokens(a), sorted_tokens(b)) for a, b, r in rows)
+        # Parts of names put all of these into one block.
+        counts = list(Counter(map(ord, "".join(sorted_tokens(n) for n in names))).items())
+        keys = [k for batch in fuzzy._group_keys(counts, 90.0)(iter([pa.RecordBatch.from_arrays([pa.array(names)], names=["name"])])) for k in batch.column(0).to_pylist()]
+        assert max(Counter(keys).values()) < len(names) / 5 and sum(n * (n - 1) // 2 for n in Counter(keys).values()) < 0.2 * len(names) ** 2 / 2
+
+    def test_long_names_and_odd_characters(self, spark):
+        from quernstone.functions.vectorized import indel_ratio, sorted_tokens
+        from quernstone.operators import fuzzy
+
+        rng = random.Random(6)
+        names = ["".join(rng.choice("abcdefghijklmnopqrst\u00e9\u4e2d\U0001f600") for _ in range(n)) for n in (10, 30, 62, 63, 64, 65, 90, 125, 126, 140) for _ in range(2)]
+        for n in list(names):
+            for edits in (1, len(n) // 25, len(n) // 11, len(n) // 9):
+                x = list(n)
+                for at in rng.sample(range(len(n)), edits):
+                    x[at] = rng.choice(["", "u", x[at] + "v"])
+                names.append("".join(x))
+        names = sorted({*names, "a\tb", "b a", "\t", "\n"})
+        wanted = {(a, b) for a, b in combinations(names, 2) if a.strip() and b.strip() and indel_ratio(sorted_tokens(a), sorted_tokens(b)) >= 90}
+        found = got(fuzzy.similar_names(spark.createDataFrame([(n,) for n in names], "n string"), "n"))
+        assert {(a, b) for a, b, _ in found} == wanted and len(found) == len(wanted) and sum(len(a) > 130 for a, _ in wanted) > 5
+
     def test_nearest_word(self, spark):
         from quernstone.operators import fuzzy
 
