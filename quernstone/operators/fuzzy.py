@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.vectorized import common_length, sorted_tokens, token_sort_ratio
+from quernstone.operators.identity import hooked
 from quernstone.operators.scratch import Scratch
 
 
@@ -150,24 +151,57 @@ def _group_keys(counts: list[tuple[int, int]], least: float):
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Pairs compared at once.
 _AT_ONCE = 200_000
+#: Pairs after which it is looked anew which ones are connected already.
+_TIED_AT_ONCE = 50_000
 
 
 def common_lengths(a: np.ndarray, a_lengths: np.ndarray, b: np.ndarray, b_lengths: np.ndarray) -> np.ndarray:
     """As ``common_length`` for many pairs at once: row by row over matrices of code points, texts of ``a`` of at most 63 characters."""
     width = int(a_lengths.max())
-    bits = np.uint64(1) << np.arange(width, dtype=np.uint64)
     inside = np.arange(width) < a_lengths[:, None]
-    a, s = a[:, :width], np.full(len(a), ~np.uint64(0))
-    for j in range(int(b_lengths.max())):
-        at = np.where((a == b[:, j : j + 1]) & inside, bits, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+    # Code points in as few bytes as they need; no text has the last of these numbers, which stands behind an end.
+    kind = np.uint8 if max(a.max(), b.max()) < 255 else np.uint16 if max(a.max(), b.max()) < 65_535 else np.uint32
+    a = np.where(inside, a[:, :width], np.iinfo(kind).max).astype(kind)
+    b = np.ascontiguousarray(b[:, : int(b_lengths.max())].T.astype(kind))
+    packed, s = np.zeros((len(a), 8), dtype=np.uint8), np.full(len(a), ~np.uint64(0))
+    at = packed.view("<u8")[:, 0]
+    for j, column in enumerate(b):
+        packed[:, : (width + 7) // 8] = np.packbits(a == column[:, None], axis=1, bitorder="little")
         at[b_lengths <= j] = 0
         u = s & at
         s = (s + u) | (s - u)
     return np.bitwise_count(~s & ((np.uint64(1) << a_lengths.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
 
 
-def _alike(least: float):
-    """For mapInArrow over (key, name) in order of the key: (a, b, ratio) of the pairs that share a key and are alike."""
+class _Trees:
+    """The names that one task has seen, by number, and the trees that its pairs have joined them to."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.root = np.zeros(0, dtype=np.int64)
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        at = np.array([self.number.setdefault(n, len(self.number)) for n in names], dtype=np.int64)
+        self.root = np.r_[self.root, np.arange(len(self.root), len(self.number))]
+        return at
+
+    def stars(self) -> pa.RecordBatch:
+        """Each name with the least one of its tree, names that are alone left out."""
+        least: dict[int, str] = {}
+        for n, r in zip(self.number, self.root.tolist()):
+            if r not in least or n < least[r]:
+                least[r] = n
+        ties = [(n, least[r]) for n, r in zip(self.number, self.root.tolist()) if n != least[r]]
+        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in ties], pa.string()), pa.array([m for _, m in ties], pa.string())], names=["src", "dst"])
+
+
+def _alike(least: float, link: bool = False):
+    """For mapInArrow over (key, name) in order of the key: (a, b, ratio) of the pairs that share a key and are alike.
+
+    With ``link``, (src, dst) that connect the same names: pairs already connected by
+    others of the task are neither compared nor given, and a task gives fewer rows
+    than it has names, however many pairs are alike.
+    """
     limits: dict[int, np.ndarray] = {}
 
     def limit(total: np.ndarray) -> np.ndarray:
@@ -176,7 +210,7 @@ def _alike(least: float):
             limits[most] = np.array([even_edits(n, 0, least) for n in range(most + 1)], dtype=np.int64)
         return limits[most][total]
 
-    def compared(keys: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
+    def compared(keys: np.ndarray, names: pa.Array, trees: _Trees | None) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[new, len(keys)])
         in_run = np.repeat(sizes, sizes) > 1
@@ -185,42 +219,71 @@ def _alike(least: float):
         names, edits = names.filter(pa.array(in_run)).to_pylist(), keys[in_run] & 31
         sizes = sizes[sizes > 1]
         texts = [sorted_tokens(name) for name in names]
+        numbers = trees.numbers(names) if link else None
         codes, lengths = _codes(texts)
-        bags = np.zeros((len(texts), 16), dtype=np.int16)
+        bags = np.zeros((len(texts), 32), dtype=np.int16)
         for j in range(codes.shape[1]):
             rows = np.flatnonzero(lengths > j)
-            bags[rows, codes[rows, j] % 16] += 1
-        # Each name meets those after it in its run.
-        n_after = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(texts)) - 1
-        before = np.r_[0, np.cumsum(n_after)]
-        first = 0
-        while first < len(texts):
-            last = max(first + 1, int(np.searchsorted(before, before[first] + _AT_ONCE, "right")) - 1)
-            count = n_after[first:last]
-            left = np.repeat(np.arange(first, last), count)
-            right = left + 1 + np.arange(len(left)) - np.repeat(before[first:last] - before[first], count)
-            first = last
+            bags[rows, codes[rows, j] % 32] += 1
+
+        def alike(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of the pairs those that are alike and, with ``link``, not yet connected; and their ratios."""
+            if link:
+                apart = trees.root[numbers[left]] != trees.root[numbers[right]]
+                left, right = left[apart], right[apart]
             if not len(left):
-                continue
+                return left, right, np.zeros(0)
             allowed = limit(lengths[left] + lengths[right])
             fit = (allowed == edits[left]) & (np.abs(lengths[left] - lengths[right]) <= allowed)
             left, right, allowed = left[fit], right[fit], allowed[fit]
             fit = np.abs(bags[left] - bags[right]).sum(axis=1) <= allowed
             left, right = left[fit], right[fit]
-            if not len(left):
-                continue
             shorter = np.where(lengths[left] <= lengths[right], left, right)
             longer = left + right - shorter
             common = np.empty(len(left), dtype=np.int64)
             fast = lengths[shorter] <= 63
-            at = np.flatnonzero(fast)
-            for part in np.array_split(at, len(at) // 20_000 + 1) if len(at) else []:
+            # In order of their lengths, for matrices without much behind the ends.
+            at = np.flatnonzero(fast)[np.argsort(lengths[longer[fast]], kind="stable")]
+            for part in np.array_split(at, len(at) // 5_000 + 1) if len(at) else []:
                 common[part] = common_lengths(codes[shorter[part]], lengths[shorter[part]], codes[longer[part]], lengths[longer[part]])
             for k in np.flatnonzero(~fast):
                 common[k] = common_length(texts[left[k]], texts[right[k]])
             ratio = 100.0 * 2 * common / (lengths[left] + lengths[right])
+            found = ratio >= least
+            return left[found], right[found], ratio[found]
+
+        def tie(left: np.ndarray, right: np.ndarray) -> None:
+            left, right, _ = alike(left, right)
+            trees.root = hooked(trees.root, numbers[left], numbers[right])
+
+        # Each name meets those after it in its run.
+        n_after = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(texts)) - 1
+        before = np.r_[0, np.cumsum(n_after)]
+        if link:
+            # The next one first, which connects most of a run in which all are alike.
+            left = np.flatnonzero(n_after)
+            for part in np.array_split(left, len(left) // _TIED_AT_ONCE + 1):
+                tie(part, part + 1)
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(before, before[first] + _AT_ONCE, "right")) - 1)
+            count = n_after[first:last]
+            left = np.repeat(np.arange(first, last), count)
+            right = left + 1 + np.arange(len(left)) - np.repeat(before[first:last] - before[first], count)
+            first = last
+            if not len(left):
+                continue
+            if link:
+                apart = trees.root[numbers[left]] != trees.root[numbers[right]]
+                left, right = left[apart], right[apart]
+                for part in np.array_split(np.arange(len(left)), len(left) // _TIED_AT_ONCE + 1):
+                    tie(left[part], right[part])
+                continue
+            left, right, ratio = alike(left, right)
+            if not len(left):
+                continue
             pairs = {}
-            for k in np.flatnonzero(ratio >= least):
+            for k in range(len(left)):
                 a, b = names[left[k]], names[right[k]]
                 if a != b:
                     pairs[(a, b) if a < b else (b, a)] = ratio[k]
@@ -228,20 +291,49 @@ def _alike(least: float):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, names = np.zeros(0, dtype=np.int64), pa.array([], pa.string())
+        trees = _Trees() if link else None
         for batch in batches:
             # The last run may go on in the next batch.
             keys = np.r_[keys, batch.column(0).to_numpy()]
             names = pa.concat_arrays([names, batch.column(1).cast(pa.string())])
             whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if whole >= 50_000:
-                yield from compared(keys[:whole], names[:whole])
+                yield from compared(keys[:whole], names[:whole], trees)
                 keys, names = keys[whole:], names[whole:]
         if len(keys):
-            yield from compared(keys, names)
+            yield from compared(keys, names, trees)
+        if link:
+            yield trees.stars()
 
     return work
 
 
+def _names(df: DataFrame, name: str) -> DataFrame:
+    return Scratch(df.sparkSession, "names").save(df.select(F.trim(F.col(name)).alias("name")).where("name <> ''").distinct())
+
+
+def _sharing_keys(names: DataFrame, least: float) -> DataFrame:
+    """``key``, ``name`` in order of the key, for :func:`_alike`."""
+    # One row for each character that names are written in.
+    counts = [(r.c, r.n) for r in names.mapInArrow(_char_counts, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()]
+    # Few bytes, much work each: the number of partitions is not left to their size.
+    n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = names.repartition(n, "name").mapInArrow(_group_keys(counts, least), "key long, name string")
+    return keyed.repartition(n, "key").sortWithinPartitions("key")
+
+
+def _long_pairs(names: DataFrame, least: float) -> DataFrame | None:
+    """``a``, ``b``, ``ratio`` of the pairs that differ by more than MOST_GROUPED edits; None where names are too short for that."""
+    longest = names.agg(F.max(F.length("name"))).first()[0] or 0
+    if least > 0 and most_edits(longest, int(longest * (200 - least) / least), least) <= MOST_GROUPED:
+        return None
+    long = names.mapInArrow(_keys(least), "key string, name string, side byte")
+    own = long.where("side = 0").select("key", F.col("name").alias("x"))
+    probe = long.where("side = 1").select("key", F.col("name").alias("y"))
+    met = own.join(probe, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.withColumn("ratio", token_sort_ratio("a", "b")).where(F.col("ratio") >= least)
+
+
 def similar_names(df: DataFrame, name: str, least: float = 90.0) -> DataFrame:
     """All pairs ``a < b`` of different names whose sorted words have an indel ratio of ``least`` or more, with the ``ratio``.
 
@@ -254,22 +346,18 @@ def similar_names(df: DataFrame, name: str, least: float = 90.0) -> DataFrame:
     more than MOST_GROUPED edits, in very long names, meet by the parts of
     :func:`_keys` instead. Null and blank names take no part.
     """
-    spark = df.sparkSession
-    names = Scratch(spark, "names").save(df.select(F.trim(F.col(name)).alias("name")).where("name <> ''").distinct())
-    # One row for each character that names are written in.
-    counts = [(r.c, r.n) for r in names.mapInArrow(_char_counts, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()]
-    # Few bytes, much work each: the number of partitions is not left to their size.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = names.repartition(n, "name").mapInArrow(_group_keys(counts, least), "key long, name string")
-    found = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_alike(least), "a string, b string, ratio double")
-    longest = names.agg(F.max(F.length("name"))).first()[0] or 0
-    if not least > 0 or most_edits(longest, int(longest * (200 - least) / least), least) > MOST_GROUPED:
-        long = names.mapInArrow(_keys(least), "key string, name string, side byte")
-        own = long.where("side = 0").select("key", F.col("name").alias("x"))
-        probe = long.where("side = 1").select("key", F.col("name").alias("y"))
-        met = own.join(probe, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = found.unionByName(met.withColumn("ratio", token_sort_ratio("a", "b")).where(F.col("ratio") >= least))
-    return found.distinct()
+    names = _names(df, name)
+    found = _sharing_keys(names, least).mapInArrow(_alike(least), "a string, b string, ratio double")
+    long = _long_pairs(names, least)
+    return (found if long is None else found.unionByName(long)).distinct()
+
+
+def linked_names(df: DataFrame, name: str, least: float = 90.0) -> DataFrame:
+    """``src, dst`` that connect the same names as the pairs of :func:`similar_names`, which are not all made: for clusters."""
+    names = _names(df, name)
+    found = _sharing_keys(names, least).mapInArrow(_alike(least, link=True), "src string, dst string")
+    long = _long_pairs(names, least)
+    return (found if long is None else found.unionByName(long.select(F.col("a").alias("src"), F.col("b").alias("dst")))).distinct()
 
 
 def nearest_word(df: DataFrame, item: str, text: Column, pattern: str, words: dict[str, str], reach: int = 200) -> DataFrame:

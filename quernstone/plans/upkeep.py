@@ -9,9 +9,10 @@ from quernstone.functions import contact as C
 from quernstone.functions import nested as N
 from quernstone.functions import text as T
 from quernstone.functions import url as U
+from quernstone.operators import fuzzy
 from quernstone.operators import identity as I
 from quernstone.operators import records as R
-from quernstone.plans import links, names, reports
+from quernstone.plans import links, reports
 from quernstone.plans.base import AMOUNT, HOST, PRESENT, Registry, sql_of
 from quernstone.sources.tables import table
 
@@ -157,11 +158,13 @@ def skip_list(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def legacy_clusters(spark: SparkSession, root: str) -> DataFrame:
     """Groups of names linked by shared contacts' pages or by likeness; tested by its parts."""
-    owners = table(spark, root, "campaigns", "url", "organizer").where("url IS NOT NULL AND trim(organizer) <> ''").groupBy("url").agg(F.min(F.trim("organizer")).alias("organizer"))
-    named = lambda side: owners.select(F.col("url").alias(side), F.col("organizer").alias(f"{side}_name"))
-    shared = links.pair_edges(spark, root).select("src", "dst").join(named("src"), "src").join(named("dst"), "dst").where("src_name <> dst_name").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
-    alike = names.fuzzy_names(spark, root).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return I.components(shared.unionByName(alike).distinct(), label="legacy")
+    pages = table(spark, root, "campaigns", "url", "organizer")
+    owners = pages.where("url IS NOT NULL AND trim(organizer) <> ''").groupBy("url").agg(F.min(F.trim("organizer")).alias("organizer"))
+    # All names of a bucket are linked to its least one: the groups are those that its pairs make.
+    held = links.share_cap(spark, root).join(owners.withColumnRenamed("url", "item"), "item").groupBy("signal", "value").agg(F.collect_set("organizer").alias("names")).where("size(names) > 1")
+    shared = held.select(F.explode("names").alias("src"), F.array_min("names").alias("dst"))
+    alike = fuzzy.linked_names(pages, "organizer", 90.0)
+    return I.joined(shared.unionByName(alike), label="legacy")
 
 
 @query(

@@ -325,6 +325,38 @@ class TestFuzzy:
         # All 18 million pairs of these names shared a part and were compared.
         assert time.time() - began < 75
 
+    def test_linked_names_connect_what_pairs_connect(self, spark, monkeypatch):
+        from quernstone.operators import fuzzy
+
+        rng = random.Random(8)
+        names = {f"{g} {''.join(rng.choice('bdfgklmnprstvz') + rng.choice('aeiou') for _ in range(4)).title()}" for g in ("Guadalupe", "Ursula") for _ in range(120)}
+        # Copies that are nearly all alike, chains, the same words in another order, texts of more than 63 characters and some that meet by parts.
+        names |= {f"{n} {k:02d}" for n in sorted(names)[:4] for k in range(60)} | {n[:at] + n[at + 1 :] for n in sorted(names)[:40] for at in (2, 12)} | {" ".join(reversed(n.split())) for n in sorted(names)[:9]}
+        names |= {x[:at] + "x" + x[at + 2 :] for x in ("".join(rng.choice("abcdefghijklm\u4e2d\U0001f600") for _ in range(n)) for n in (62, 64, 90, 140)) for at in (0, 9, 17, 30)}
+        df = spark.createDataFrame([(n,) for n in [*sorted(names), None, " "]], "n string")
+        pairs = fuzzy.similar_names(df, "n").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        wanted = got(I.components(pairs))
+        links = fuzzy.linked_names(df, "n").persist()
+        assert got(I.joined(links)) == wanted and len(wanted) > 300
+        # Every pair was made and sent on: copies of one name grow with the square of their number.
+        assert pairs.count() > 4000 and links.count() < 4 * len(names) < 3000
+        monkeypatch.setattr(I, "MOST_JOINED", 400)
+        assert got(I.joined(pairs)) == wanted
+        monkeypatch.setattr(I, "MOST_JOINED", 100)
+        assert got(I.joined(pairs)) == wanted
+        assert got(I.joined(pairs.limit(0))) == []
+
+    def test_legacy_clusters_of_shared_values(self, spark, tmp_path):
+        from quernstone.plans import upkeep
+
+        names = ["Xo Quabide", "Ufa Merrylin", "Jeb Tonkawa", "Zig Holvard", "Ann Corpuzi", "Pim Esterel"]
+        # u0 has two names, of which the least counts; u3 has none; u9 is no campaign; eleven pages share a value that counts for none of them.
+        pages = [("u0", names[0]), ("u0", names[1]), ("u1", names[2]), ("u2", f" {names[3]} "), ("u3", None), ("u3", " "), ("u4", names[4]), ("u5", names[5]), (None, names[5])] + [(f"v{i}", f"{chr(97 + i) * 7} {chr(107 + i) * 9}") for i in range(11)]
+        spark.createDataFrame(pages, "url string, organizer string").write.parquet(str(tmp_path / "campaigns.parquet"))
+        mail = {"u0": ["a@one.example"], "u1": ["a@one.example"], "u2": ["b@one.example"], "u3": ["b@one.example", "a@one.example", "c@one.example"], "u4": ["c@one.example"], "u5": ["d@one.example"], "u9": ["d@one.example"]} | {f"v{i}": ["e@one.example"] for i in range(11)}
+        spark.createDataFrame([(u, e, None, None, None) for u, e in mail.items()], "url string, emails array<string>, phones array<string>, payment_handles array<string>, urls array<string>").write.parquet(str(tmp_path / "contacts.parquet"))
+        assert got(upkeep.legacy_clusters(spark, str(tmp_path))) == [(names[2], names[2]), (names[1], names[2])]
+
     def test_nearest_word(self, spark):
         from quernstone.operators import fuzzy
 
